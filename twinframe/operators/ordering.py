@@ -86,27 +86,18 @@ def dense_index(df: DataFrame, key: str, name: str = "row_index", buckets: int =
     return counted.withColumn(name, F.col("cum__w") - 1).drop("_w", "cum__w", "all__w", f"next_{key}")
 
 
-def hash_threshold(
-    df: DataFrame, id_col: str, seed, quotas: DataFrame, strata: list[str] | None = None
-) -> DataFrame:
-    """Per stratum, the last (rnd(seed, id), id) among the `quota` smallest ones.
+def _last_chosen(draws: DataFrame, quotas: DataFrame, key: list[str]) -> DataFrame:
+    """Per stratum, the last (_r, _id) among the `quota` smallest draws.
 
-    `quotas` has the strata columns and `quota`. A histogram of the hash finds the bucket that
-    holds the last chosen row, and only that bucket (1/65536 of a stratum) is ranked: no row
-    of the table is sorted or moved.
+    A histogram of the hash finds the bucket that holds it, and only that bucket (1/65536 of a
+    stratum) is ranked: the rows of the table are neither sorted nor moved.
     """
-    key = list(strata or []) or ["_g"]
-    source = df if strata else df.withColumn("_g", F.lit(0))
-    wanted = quotas if strata else quotas.withColumn("_g", F.lit(0))
-    draws = source.select(*key, F.col(id_col).alias("_id"), rnd(seed, F.col(id_col)).alias("_r")).withColumn(
-        "_bucket", F.floor(F.col("_r") * HASH_BUCKETS)
-    )
     order = W.partitionBy(*key).orderBy("_bucket")
     edge = (
         draws.groupBy(*key, "_bucket")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_upto", F.sum("_n").over(order))
-        .join(wanted, key)
+        .join(quotas, key)
         .where((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("_n") < F.col("quota")))
         .select(*key, "_bucket", (F.col("quota") - F.col("_upto") + F.col("_n")).alias("_take"))
     )
@@ -120,23 +111,41 @@ def hash_threshold(
 
 
 def mark_smallest(
-    df: DataFrame, id_col: str, seed, threshold: DataFrame, strata: list[str] | None = None, name: str = "chosen"
+    df: DataFrame, id_col: str, seed, quota, strata: list[str] | None = None, within: Column | None = None, name: str = "chosen"
 ) -> DataFrame:
-    """Adds a flag: is the row within the hash threshold of its stratum? One filter-like pass."""
-    r = rnd(seed, F.col(id_col))
-    within = (r < F.col("_last_r")) | ((r == F.col("_last_r")) & (F.col(id_col) <= F.col("_last_id")))
-    key = list(strata or []) or ["_g"]
-    source = df if strata else df.withColumn("_g", F.lit(0))
-    joined = source.join(as_small(threshold), key, "left")
-    return joined.select(*df.columns, F.coalesce(within, F.lit(False)).alias(name))
-
+    """Flags exactly `quota` rows (per stratum): those with the smallest (rnd(seed, id), id).
 
-def smallest_by_hash(
-    df: DataFrame, id_col: str, seed, quotas: DataFrame, strata: list[str] | None = None
-) -> DataFrame:
-    """Exactly the `quota` rows per stratum with the smallest (rnd(seed, id), id)."""
-    threshold = hash_threshold(df, id_col, seed, quotas, strata)
-    return mark_smallest(df, id_col, seed, threshold, strata, "_chosen").where("_chosen").drop("_chosen")
+    `quota` turns a row count into a number of rows; with strata it turns the table of class
+    counts (strata columns, n) into one with `quota`. `within` limits the draw to some rows.
+    Finding the cut-off reads the ids only; marking is then a projection over the wide rows.
+    """
+    key = list(strata or []) or ["_g"]
+    pool = df if within is None else df.where(within)
+    if not strata:
+        pool = pool.withColumn("_g", F.lit(0))
+    draws = pool.select(*key, F.col(id_col).alias("_id"), rnd(seed, F.col(id_col)).alias("_r")).withColumn(
+        "_bucket", F.floor(F.col("_r") * HASH_BUCKETS)
+    )
+    counts = draws.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    quotas = quota(counts) if strata else counts.select("_g", quota(F.col("n")).alias("quota"))
+    last = _last_chosen(draws, quotas, key)
+    r = rnd(seed, F.col(id_col))
+    below = lambda last_r, last_id: (r < last_r) | ((r == last_r) & (F.col(id_col) <= last_id))
+    if strata:
+        marked = df.join(as_small(last), key, "left")
+        flag = F.coalesce(below(F.col("_last_r"), F.col("_last_id")), F.lit(False))
+    else:
+        cut = last.first()
+        marked = df
+        flag = below(F.lit(cut["_last_r"]), F.lit(cut["_last_id"])) if cut else F.lit(False)
+    if within is not None:
+        flag = flag & within
+    return marked.select(*df.columns, flag.alias(name))
+
+
+def smallest_by_hash(df: DataFrame, id_col: str, seed, quota, strata: list[str] | None = None) -> DataFrame:
+    """Exactly the `quota` rows (per stratum) with the smallest (rnd(seed, id), id)."""
+    return mark_smallest(df, id_col, seed, quota, strata, name="_chosen").where("_chosen").drop("_chosen")
 
 
 def any_null(columns: list[str], df: DataFrame) -> Column:

@@ -7,50 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from twinframe.functions.hashing import rnd
-from twinframe.operators.ordering import as_small, dense_index, hash_threshold, mark_smallest, smallest_by_hash
+from twinframe.operators.ordering import dense_index, mark_smallest, smallest_by_hash
 
 BROADCAST_ROWS = 1_000_000  # of an id and a few numbers each
 
 
-def _quota(df: DataFrame, share: float, target: str | None) -> DataFrame:
-    """Rows to take: ceil(n * share) overall, or shared out over the classes.
+def _share_out(target: str, share: float):
+    """Quota of each class for a stratified draw of ceil(n * share) rows.
 
     Each class gets the floor of its part; the rows still missing go to the classes with the
-    largest remainders, ties in class order.
+    largest remainders, ties in class order. One row per class.
     """
-    if target is None:
-        return df.agg(F.ceil(F.count(F.lit(1)) * F.lit(share)).alias("quota"))
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    # One row per class from here on.
-    everywhere = W.partitionBy(F.lit(0))
-    total = F.sum("n").over(everywhere)
-    wanted = F.ceil(total * F.lit(share))
-    exact = F.col("n") * wanted / total
-    floors = counts.select(
-        target,
-        F.floor(exact).alias("base"),
-        (exact - F.floor(exact)).alias("rest"),
-        wanted.alias("wanted"),
-    )
-    order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.round("rest", 9)), target)
-    missing = F.col("wanted") - F.sum("base").over(everywhere)
-    return floors.select(
-        target, (F.col("base") + F.when(F.row_number().over(order) <= missing, 1).otherwise(0)).alias("quota")
-    )
+
+    def quotas(counts: DataFrame) -> DataFrame:
+        everywhere = W.partitionBy(F.lit(0))
+        wanted = F.ceil(F.sum("n").over(everywhere) * F.lit(share))
+        exact = F.col("n") * wanted / F.sum("n").over(everywhere)
+        floors = counts.select(
+            target, F.floor(exact).alias("base"), (exact - F.floor(exact)).alias("rest"), wanted.alias("wanted")
+        )
+        order = W.partitionBy(F.lit(0)).orderBy(F.desc(F.round("rest", 9)), target)
+        missing = F.col("wanted") - F.sum("base").over(everywhere)
+        extra = F.when(F.row_number().over(order) <= missing, 1).otherwise(0)
+        return floors.select(target, (F.col("base") + extra).alias("quota"))
+
+    return quotas
 
 
 def mark_holdout(
     df: DataFrame, share: float, seed, row_id: str = "row_id", target: str | None = None, within=None, name: str = "held"
 ) -> DataFrame:
-    """Flags an exact share of the rows by seeded hash, per class when a target is given.
-
-    `within` limits the draw to the rows where it holds; the others are flagged False.
-    """
-    strata = [target] if target else []
-    pool = df if within is None else df.where(within)
-    threshold = hash_threshold(pool, row_id, seed, as_small(_quota(pool, share, target)), strata)
-    marked = mark_smallest(df, row_id, seed, threshold, strata, name)
-    return marked if within is None else marked.withColumn(name, F.col(name) & within)
+    """Flags an exact share of the rows by seeded hash, per class when a target is given."""
+    quota = _share_out(target, share) if target else lambda n: F.ceil(n * F.lit(share))
+    return mark_smallest(df, row_id, seed, quota, [target] if target else None, within, name)
 
 
 def two_stage_split(
@@ -150,5 +139,4 @@ def sample_with_replacement(df: DataFrame, k: int, seed, row_id: str = "row_id",
 
 def sample_half(df: DataFrame, seed, row_id: str = "row_id") -> DataFrame:
     """Exactly n // 2 rows without replacement."""
-    quota = df.agg(F.floor(F.count(F.lit(1)) / 2).alias("quota"))
-    return smallest_by_hash(df, row_id, seed, quota)
+    return smallest_by_hash(df, row_id, seed, lambda n: F.floor(n / 2))
