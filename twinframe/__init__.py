@@ -1,3 +1,10 @@
 """Twinframe: prepare tables, make synthetic twins of them and judge the twins, on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions that run inside tasks travel with the plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -14,7 +14,8 @@ TWO_32 = 4294967296.0
 
 def rnd(seed, *ids: Column) -> Column:
     """Uniform in [0, 1): the first 32 bits of md5('seed|id|...')."""
-    parts = [F.lit(str(seed)), *[i.cast("string") for i in ids]]
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    parts = [first, *[i.cast("string") for i in ids]]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
 
 

@@ -20,10 +20,12 @@ from pyspark.sql import Window as W
 
 from twinframe.operators.encode import JointEncoder
 from twinframe.operators.ordering import running_totals
+from twinframe.session import cut_lineage
 
 MAX_LEAVES = 20_000  # over all candidate sets; bounds the broadcast summary
 MIN_LEAF = 64
-SUMMARY_ROWS = 6  # rows of a leaf kept in its summary
+SUMMARY_ROWS = 12  # rows of a leaf kept in its summary
+PROBES = 3  # closest boxes whose summary rows give the first upper bound
 BINS = 32  # quantile bins per number in the packing order
 TARGET_BLOCK = 1024
 
@@ -34,12 +36,15 @@ def _pair_distance(a: np.ndarray, b: np.ndarray, n_num: int) -> np.ndarray:
     Two different known categories differ in two places; a code of -1 is an all-zero block and
     differs from a known category in one.
     """
-    out = np.zeros((len(a), len(b)))
+    out = np.zeros((*a.shape[:-1], b.shape[-2]))
     for i in range(n_num):
-        out += (a[:, i, None] - b[None, :, i]) ** 2
-    for i in range(n_num, a.shape[1]):
-        x, y = a[:, i, None], b[None, :, i]
-        out += np.where(x == y, 0.0, np.where((x < 0) | (y < 0), 1.0, 2.0))
+        out += (a[..., i, None] - b[..., None, :, i]) ** 2
+    for i in range(n_num, a.shape[-1]):
+        x, y = a[..., i, None], b[..., None, :, i]
+        differs = x != y
+        out += 2.0 * differs
+        if a[..., i].min(initial=0) < 0 or b[..., i].min(initial=0) < 0:
+            out -= differs & ((x < 0) | (y < 0))
     return out
 
 
@@ -52,40 +57,45 @@ def _box_distance(a: np.ndarray, low: np.ndarray, high: np.ndarray, n_num: int)
     for i in range(n_num, a.shape[1]):
         x = a[:, i, None]
         inside = (x >= low[None, :, i]) & (x <= high[None, :, i])
-        out += np.where(inside, 0.0, 1.0)  # at least one place differs
+        out += np.where(inside, 0.0, np.where(low[None, :, i] < 0, 1.0, 2.0) if (x >= 0).all() else 1.0)
     return out
 
 
-def _packing_key(candidates: DataFrame, n_num: int, n_cat: int) -> DataFrame:
-    """Adds `_key`: category combination first, then interleaved quantile bins of the numbers."""
+def fit_grids(candidates: DataFrame, n_num: int) -> list[list[float]]:
+    """Approximate quantiles of each number; they shape the packing, not the result."""
+    if not n_num:
+        return []
     probs = [i / BINS for i in range(1, BINS)]
-    grids = (
-        candidates.agg(*[F.percentile_approx(F.col("vec")[i], probs, F.lit(1000)).alias(f"g{i}") for i in range(n_num)]).first()
-        if n_num
-        else None
-    )
-    bits = int(math.log2(BINS))
+    row = candidates.agg(
+        *[F.percentile_approx(F.col("vec")[i], probs, F.lit(1000)).alias(f"g{i}") for i in range(n_num)]
+    ).first()
+    return [row[f"g{i}"] or [] for i in range(n_num)]
+
+
+def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int) -> DataFrame:
+    """Adds `_key`: category combination first, then interleaved quantile bins of the numbers."""
+    bits, n_num = int(math.log2(BINS)), len(grids)
+    literal = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<double>")
+    ranks = [_rank(literal(grid), i) for i, grid in enumerate(grids)]
     place = F.lit(0).cast("long")
     for b in range(bits - 1, -1, -1):
-        for i in range(n_num):
-            grid = F.array(*[F.lit(v) for v in (grids[f"g{i}"] or [])]).cast("array<double>")
-            rank = _rank(grid, i)
+        for rank in ranks:
             place = place * 2 + F.shiftright(rank, b).bitwiseAND(F.lit(1)).cast("long")
     combo = F.lit(0.0)
     for i in range(n_num, n_num + n_cat):
         combo = combo * 64.0 + F.least(F.col("vec")[i] + 1.0, F.lit(63.0))
     # Only the order matters; doubles keep the leading categories exact and blur the last bins.
-    return candidates.withColumn("_key", combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double"))
+    return df.withColumn("_key", combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double"))
 
 
 def _rank(grid, i: int):
     return F.size(F.filter(grid, lambda v: v < F.col("vec")[i]))
 
 
-def pack_leaves(candidates: DataFrame, n_num: int, n_cat: int, sets: list[str]) -> DataFrame:
+def pack_leaves(candidates: DataFrame, grids: list[list[float]], n_cat: int, sets: list[str]) -> DataFrame:
     """(sets..., leaf, vec): distinct candidate rows in leaves of at most a fixed number of rows."""
     distinct = candidates.select(*sets, "vec").distinct()
-    keyed = _packing_key(distinct, n_num, n_cat)
+    keyed = with_packing_key(distinct, grids, n_cat)
     counts = keyed.groupBy(*sets, "_key").agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(counts, "_key", ["_n"], groups=sets)
     total = distinct.count()
@@ -122,7 +132,8 @@ def nearest(
     dims = n_num + n_cat
     own = sets or ["only_set"]
     source = candidates if sets else candidates.withColumn("only_set", F.lit(0))
-    leaves = pack_leaves(source, n_num, n_cat, own)
+    grids = fit_grids(source, n_num)
+    leaves = pack_leaves(source, grids, n_cat, own)
     step = F.greatest(F.floor(F.col("leaf_size") / SUMMARY_ROWS), F.lit(1))
     summary = leaves.groupBy(*own, "leaf").agg(
         *[F.min(F.col("vec")[i]).alias(f"lo{i}") for i in range(dims)],
@@ -130,19 +141,22 @@ def nearest(
         F.collect_list(F.when(F.col("slot") % step == 0, F.col("vec"))).alias("rows"),
         F.flatten(F.collect_list("vec")).alias("block"),
     )
+    summary = cut_lineage(summary)  # read twice below, and both readings must agree
     blocks = summary.select(*own, "leaf", "block")
     # At most MAX_LEAVES full leaves plus one part-filled leaf per set.
     boxes = summary.drop("block").toPandas()
     indexed = []
     for key, part in boxes.groupby(own, sort=True):
-        rows = [np.asarray(list(r), dtype=float) for r in part["rows"]]
+        kept = [np.asarray(list(r), dtype=float)[:SUMMARY_ROWS] for r in part["rows"]]
+        # Short leaves repeat their first row, so that all summaries have one shape.
+        rows = [np.concatenate([r, np.repeat(r[:1], SUMMARY_ROWS - len(r), axis=0)]) for r in kept]
         indexed.append(
             (
                 tuple(key) if isinstance(key, tuple) else (key,),
                 part["leaf"].to_numpy(),
                 part[[f"lo{i}" for i in range(dims)]].to_numpy(dtype=float),
                 part[[f"hi{i}" for i in range(dims)]].to_numpy(dtype=float),
-                np.concatenate(rows),
+                np.stack(rows),
             )
         )
     index = spark.sparkContext.broadcast(indexed)
@@ -155,29 +169,42 @@ def nearest(
                 a, t = vecs[start : start + TARGET_BLOCK], ids[start : start + TARGET_BLOCK]
                 found = []
                 for key, leaf, low, high, rows in index.value:
-                    best = _pair_distance(a, rows, n_num).min(axis=1)
+                    bound = _box_distance(a, low, high, n_num)
+                    probes = min(PROBES, len(leaf))
+                    best = np.full(len(a), np.inf)
+                    for j in np.argpartition(bound, probes - 1, axis=1)[:, :probes].T:
+                        best = np.minimum(best, _pair_distance(a[:, None, :], rows[j], n_num).min(axis=(1, 2)))
                     found.append((*key, -1, t, best, np.empty(0)))
-                    near = _box_distance(a, low, high, n_num) < best[:, None]
+                    near = bound < best[:, None]
                     for j in np.flatnonzero(near.any(axis=0)):
                         hit = near[:, j]
                         found.append((*key, int(leaf[j]), t[hit], np.empty(0), a[hit].ravel()))
                 yield pd.DataFrame(found, columns=[*own, "leaf", "tids", "best", "vecs"])
 
-    # Copies of a target are searched once; sorting keeps similar targets in one block.
-    vectors = targets.groupBy("vec").agg(F.min(row_id).alias("tid")).repartitionByRange("vec").sortWithinPartitions("vec")
-    routed = vectors.select("tid", "vec").mapInPandas(
+    # Copies of a target are searched once; in packing order a block of targets meets few leaves.
+    distinct = with_packing_key(targets.groupBy("vec").agg(F.min(row_id).alias("tid")), grids, n_cat)
+    ordered = distinct.repartitionByRange("_key", "tid").sortWithinPartitions("_key")
+    routed = ordered.select("tid", "vec").mapInPandas(
         route, f"{set_fields}, leaf long, tids array<long>, best array<double>, vecs array<double>"
     )
 
     def search(batches):
         for batch in batches:
+            pieces = []
             for row in batch.itertuples(index=False):
                 if row.leaf < 0:
                     best = row.best
                 else:
                     a, b = np.reshape(row.vecs, (-1, dims)), np.reshape(row.block, (-1, dims))
                     best = _pair_distance(a, b, n_num).min(axis=1)
-                yield pd.DataFrame({"tid": row.tids, **{name: getattr(row, name) for name in own}, "squared": best})
+                pieces.append(([getattr(row, name) for name in own], row.tids, best))
+            yield pd.DataFrame(
+                {
+                    "tid": np.concatenate([t for _, t, _ in pieces]),
+                    **{n: np.repeat([k[i] for k, _, _ in pieces], [len(t) for _, t, _ in pieces]) for i, n in enumerate(own)},
+                    "squared": np.concatenate([d for _, _, d in pieces]),
+                }
+            )
 
     met = routed.join(blocks, [*own, "leaf"], "left").select(*own, "leaf", "tids", "best", "vecs", "block")
     found = met.mapInPandas(search, f"tid long, {set_fields}, squared double")
