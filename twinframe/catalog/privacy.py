@@ -134,3 +134,23 @@ def _(spark, sf):
     return categories(df, list(columns)).agg(
         F.lit(",".join(columns)).alias("discrete_columns"), F.count(F.lit(1)).alias("n_categories")
     )
+
+
+@query("L3_shadow_models")
+def _(spark, sf):
+    df = fx.parts(spark, sf)
+    models = pv.fit_shadows(df, pv.memberships(df, SHADOWS), fx.PART_NUM, fx.PART_CAT)
+    return models.correlation().withColumn("corr", F.round("corr", 5))
+
+
+@query("L4_shadow_samples")
+def _(spark, sf):
+    df = fx.parts(spark, sf)
+    models = pv.fit_shadows(df, pv.memberships(df, SHADOWS), fx.PART_NUM, fx.PART_CAT)
+    return pv.sample_shadows(models, df.count() // 2, 2)
+
+
+@query("L12_privacy_job")
+def _(spark, sf):
+    scores = pv.evaluate_privacy(fx.parts(spark, sf), fx.PART_NUM, fx.PART_CAT, fx.PART_CAT, shadows=4, draws=2)
+    return scores.withColumn("ds", F.round("ds", 6))

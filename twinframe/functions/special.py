@@ -1,4 +1,4 @@
-"""Normal and gamma probabilities as column expressions, so they stay inside generated code."""
+"""Normal and gamma probabilities as column expressions and DataFrame steps, so they stay inside generated code."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Hart's rational approximation of the normal tail (Hart 1968, algorithm 5666).
@@ -51,28 +51,50 @@ def _horner(x: Column, high_first: list[float]) -> Column:
 
 
 def norm_cdf(x: Column) -> Column:
-    """P(Z <= x) for a standard normal Z."""
+    """P(Z <= x) for a standard normal Z. x occurs often in it: pass a plain column."""
     a = F.abs(x)
     bell = F.exp(-a * a / 2.0)
     near = bell * _horner(a, HART_NUM) / _horner(a, HART_DEN)
     fraction = a + 1.0 / (a + 2.0 / (a + 3.0 / (a + 4.0 / (a + F.lit(0.65)))))
     far = bell / fraction / F.lit(math.sqrt(2.0 * math.pi))
     tail = F.when(a > 37.0, F.lit(0.0)).when(a < 7.07106781186547, near).otherwise(far)
-    return F.when(x > 0.0, F.lit(1.0) - tail).otherwise(tail)
-
-
-def norm_ppf(p: Column) -> Column:
-    """Quantile of the standard normal; p is clipped just inside (0, 1)."""
-    p = F.greatest(F.least(p, F.lit(1.0 - 1e-15)), F.lit(1e-15))
-    q = p - 0.5
-    mid = F.lit(0.180625) - q * q
-    centre = q * _horner(mid, AS241_A[::-1]) / _horner(mid, AS241_B[::-1])
-    r = F.sqrt(-F.log(F.least(p, 1.0 - p)))
-    inner, outer = r - 1.6, r - 5.0
-    tail = F.when(r <= 5.0, _horner(inner, AS241_C[::-1]) / _horner(inner, AS241_D[::-1])).otherwise(
-        _horner(outer, AS241_E[::-1]) / _horner(outer, AS241_F[::-1])
+    flip = F.when(x > 0.0, F.lit(1.0)).otherwise(F.lit(0.0))
+    return flip + (1.0 - 2.0 * flip) * tail
+
+
+def add_norm_cdf(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds the normal probability of each source column, as {new name: source}."""
+    return df.withColumns({out: norm_cdf(F.col(source)) for out, source in columns.items()})
+
+
+def add_norm_ppf(df: DataFrame, columns: dict[str, str], edge: float = 1e-9) -> DataFrame:
+    """Adds the normal quantile of each source column, as {new name: source}.
+
+    Probabilities are clipped to [edge, 1 - edge]. The two arguments of the rational functions
+    are columns of their own, so each is computed once per row.
+    """
+    if not columns:
+        return df
+    clipped = {f"_p_{out}": F.greatest(F.least(F.col(s), F.lit(1.0 - edge)), F.lit(edge)) for out, s in columns.items()}
+    staged = df.withColumns(clipped)
+    staged = staged.withColumns(
+        {
+            **{f"_m_{out}": F.lit(0.180625) - (F.col(f"_p_{out}") - 0.5) * (F.col(f"_p_{out}") - 0.5) for out in columns},
+            **{f"_r_{out}": F.sqrt(-F.log(F.least(F.col(f"_p_{out}"), 1.0 - F.col(f"_p_{out}")))) for out in columns},
+        }
     )
-    return F.when(F.abs(q) <= 0.425, centre).when(q < 0, -tail).otherwise(tail)
+
+    def quantile(out):
+        q, mid, r = F.col(f"_p_{out}") - 0.5, F.col(f"_m_{out}"), F.col(f"_r_{out}")
+        centre = q * _horner(mid, AS241_A[::-1]) / _horner(mid, AS241_B[::-1])
+        inner, outer = r - 1.6, r - 5.0
+        tail = F.when(r <= 5.0, _horner(inner, AS241_C[::-1]) / _horner(inner, AS241_D[::-1])).otherwise(
+            _horner(outer, AS241_E[::-1]) / _horner(outer, AS241_F[::-1])
+        )
+        return F.when(F.abs(q) <= 0.425, centre).otherwise(F.signum(q) * tail)
+
+    done = staged.withColumns({out: quantile(out) for out in columns})
+    return done.drop(*[f"_{k}_{out}" for out in columns for k in "pmr"])
 
 
 def chi2_sf(stat: Column, dof: Column) -> Column:

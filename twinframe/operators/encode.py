@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from twinframe.functions.special import norm_ppf
+from twinframe.functions.special import add_norm_ppf
 from twinframe.operators.ordering import as_small, running_totals
 
 # Most categories one column may have in a dense one-hot array.
@@ -295,10 +295,9 @@ def quantile_to_normal(df: DataFrame, column: str, grid: np.ndarray, out: str) -
         down = np.interp(-values, -grid[::-1], -probs[::-1])
         return pd.Series(np.where(np.isnan(values), np.nan, 0.5 * (up - down)))
 
+    placed = df.withColumn("_place", place(F.col(column).cast("double")))
     # Fixed value: places are clipped this far inside (0, 1) before the normal quantile.
-    edge = 1e-7
-    clipped = F.greatest(F.least(place(F.col(column).cast("double")), F.lit(1 - edge)), F.lit(edge))
-    return df.withColumn(out, norm_ppf(clipped))
+    return add_norm_ppf(placed, {out: "_place"}, edge=1e-7).drop("_place")
 
 
 def fit_quantile_grid(df: DataFrame, column: str) -> np.ndarray:
