@@ -250,3 +250,66 @@ def column_report(spark, sf):
     cells = shares.groupBy("column", "value").agg(side("real").alias("p"), side("syn").alias("q"))
     cats = cells.groupBy("column").agg(F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 5).alias("value"))
     return numbers.unionByName(cats.select("column", F.lit("total_variation").alias("metric"), "value"))
+
+
+# ---- transport: intervals from a solver, so only rows are compared
+
+
+@query("G3_wasserstein_gower")
+def _(spark, sf):
+    from twinframe.operators.transport import wasserstein_gower
+
+    return wasserstein_gower(*fx.pair(fx.parts(spark, sf)), fx.PART_NUM, fx.PART_CAT)
+
+
+@query("G3_transport_bounds")
+def _(spark, sf):
+    from twinframe.operators.transport import sorted_coupling
+
+    return sorted_coupling(*halves(spark, sf), NUM, CAT)
+
+
+@query(
+    "G3_marginal_lower_bound",
+    f"{PAIR}, num AS ({sql_wasserstein(NUM, digits=9)}), scaled AS (SELECT avg(wasserstein / CASE \"column\" "
+    + " ".join(f"WHEN '{c}' THEN (SELECT max({c}) - min({c}) FROM order_facts)" for c in NUM)
+    + f" END) AS v FROM num), prop AS ({sql_proportions(CAT, {'real': 'real', 'syn': 'syn'})}), cells AS (SELECT \"column\", "
+    "value, sum(CASE WHEN dataset = 'real' THEN proportion ELSE -proportion END) AS gap FROM prop GROUP BY 1, 2) SELECT "
+    f"round((SELECT v FROM scaled) * {len(NUM)} / 5 + (SELECT sum(abs(gap)) / 2 FROM cells) / 5, 4) AS lower",
+)
+def _(spark, sf):
+    by_column = ds.gower_by_column(*halves(spark, sf), NUM, CAT)
+    return by_column.agg(F.round(F.avg("lower_transport"), 4).alias("lower"))
+
+
+@query("G4_wasserstein_numeric")
+def _(spark, sf):
+    from twinframe.operators.encode import fit_scaler, scale
+    from twinframe.operators.transport import wasserstein_numeric
+
+    real, syn = fx.pair(fx.parts(spark, sf))
+    scaler = fit_scaler(real, fx.PART_NUM)
+    return wasserstein_numeric(scale(real, scaler), scale(syn, scaler), fx.PART_NUM)
+
+
+@query("G5_fidelity_score")
+def _(spark, sf):
+    from twinframe.operators.transport import cal_fidelity
+
+    return cal_fidelity(*halves(spark, sf), NUM, CAT, tune=True)
+
+
+@query("G7_penalised_score")
+def _(spark, sf):
+    from twinframe.operators.transport import penalised_score
+
+    return penalised_score(*fx.pair(fx.parts(spark, sf)), fx.PART_NUM, fx.PART_CAT)
+
+
+@query("G14_fidelity_job")
+def _(spark, sf):
+    from twinframe.operators.profile import Metadata
+    from twinframe.plans.jobs import fidelity_job
+
+    meta = Metadata(("p_size",), tuple(fx.PART_CAT), "p_retailprice", "regression", 0, 4, 0.0)
+    return fidelity_job(*fx.pair(fx.parts(spark, sf)), meta)
