@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from twinframe.operators.encode import JointEncoder
-from twinframe.operators.ordering import running_totals
+from twinframe.operators.ordering import count_below, running_totals
 from twinframe.session import cut_lineage
 
 MAX_LEAVES = 20_000  # over all candidate sets; bounds the broadcast summary
@@ -76,7 +76,8 @@ def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int) -> Dat
     """Adds `_key`: category combination first, then interleaved quantile bins of the numbers."""
     bits, n_num = int(math.log2(BINS)), len(grids)
     literal = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<double>")
-    ranks = [_rank(literal(grid), i) for i, grid in enumerate(grids)]
+    ranked = df.withColumns({f"_q{i}": count_below(literal(g), F.col("vec")[i], BINS) for i, g in enumerate(grids)})
+    ranks = [F.col(f"_q{i}") for i in range(n_num)]
     place = F.lit(0).cast("long")
     for b in range(bits - 1, -1, -1):
         for rank in ranks:
@@ -85,11 +86,8 @@ def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int) -> Dat
     for i in range(n_num, n_num + n_cat):
         combo = combo * 64.0 + F.least(F.col("vec")[i] + 1.0, F.lit(63.0))
     # Only the order matters; doubles keep the leading categories exact and blur the last bins.
-    return df.withColumn("_key", combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double"))
-
-
-def _rank(grid, i: int):
-    return F.size(F.filter(grid, lambda v: v < F.col("vec")[i]))
+    key = combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double")
+    return ranked.withColumn("_key", key).drop(*[f"_q{i}" for i in range(n_num)])
 
 
 def pack_leaves(candidates: DataFrame, grids: list[list[float]], n_cat: int, sets: list[str]) -> DataFrame:

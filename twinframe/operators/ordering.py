@@ -29,12 +29,22 @@ def as_small(df: DataFrame, limit: int = 10_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
+def count_below(bounds: Column, value: Column, size: int) -> Column:
+    """How many of at most `size` ascending bounds lie below the value: a binary search."""
+    steps = [2**k for k in range(size.bit_length() - 1, -1, -1)]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at),
+    )
+
+
 def _with_buckets(df: DataFrame, key: str, groups: list[str], buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
     # One row per group (an unpivoted column, a dataset label): small by construction.
     bounds = df.groupBy(*groups).agg(F.percentile_approx(key, probs, F.lit(10_000)).alias("_bounds"))
     placed = df.join(F.broadcast(bounds), groups)
-    return placed.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(key)))).drop("_bounds")
+    return placed.withColumn("_bucket", count_below(F.col("_bounds"), F.col(key), buckets)).drop("_bounds")
 
 
 def running_totals(
