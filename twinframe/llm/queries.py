@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import langid, quality
+from twinframe.llm import langid, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,3 +53,9 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
         F.col("quality_score").alias("score"),
         (F.col("quality_score") >= 0.3).cast("int").alias("predicted"),
     )
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
