@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import langid, quality, simhash
+from twinframe.llm import exact, langid, packing, quality, simhash, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -59,3 +59,29 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"))
     return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op4_exact",
+    r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+           doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
+    FROM n
+    """,
+)
+def op4_exact(spark: SparkSession, sf: str) -> DataFrame:
+    return exact.deduplicate(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_embeddings")
+def op6_embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf, "embeddings"), least_cosine=0.95).withColumnRenamed("id", "vec_id")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return packing.pack(docs.select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
