@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import exact, langid, packing, quality, simhash, vectors
+from twinframe.llm import exact, langid, mixing, packing, quality, sharding, simhash, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,3 +85,22 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(docs.select("doc_id", "text")).select(
         F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2).select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        F.col("mix_taken").alias("taken"),
+    )
+
+
+@query("op9_sharding")
+def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents"), shards=24).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
