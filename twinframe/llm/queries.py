@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import exact, langid, mixing, packing, quality, sharding, simhash, vectors
+from twinframe.llm import exact, langid, mixing, packing, quality, sharding, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -99,6 +99,23 @@ def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: The rules of the contract.
+URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+
+
+@query("op7_urls")
+def op7_urls(spark: SparkSession, sf: str) -> DataFrame:
+    """A page's address ends in the id of the document it shows, whose labels are the page's."""
+    pages, labels = table(spark, sf, "pages").select("page_id", "url"), table(spark, sf, "labels")
+    path = urls.path_of(F.col("url"))
+    shown = pages.select(
+        urls.host_of(F.col("url")).alias("host"), path.alias("path"), F.try_to_number(F.regexp_extract(path, r"/(\d{1,18})(?:\.\w+)?/?$", 1), F.lit("9" * 18)).cast("long").alias("doc_id")
+    )
+    good = ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")
+    known = shown.join(labels.groupBy("doc_id").agg(F.min(good).alias("good")), "doc_id").select("host", "path", "good")
+    return urls.judge(pages, known, URL_RULES).withColumnRenamed("id", "page_id")
+
+
 @query("op9_sharding")
 def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), shards=24).select(
