@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import exact, langid, mixing, packing, quality, sharding, simhash, urls, vectors
+from twinframe.llm import exact, langid, lines, mixing, packing, quality, sharding, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,3 +121,15 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"), shards=24).select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query("op10_lines")
+def op10_lines(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.deduplicate(docs).select(
+        "doc_id",
+        F.col("line_total").cast("long").alias("line_total"),
+        F.col("line_dropped").cast("long").alias("line_dropped"),
+        F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("kept_crc32"),
+    )
