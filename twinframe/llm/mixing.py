@@ -74,7 +74,7 @@ def apportion(parties: DataFrame, group: str) -> DataFrame:
     seat = F.when(up, F.col("base") + F.col("k") - 1).otherwise(F.col("base") - F.col("k"))
     quotient = F.col("votes") / (2 * seat + 1)
     order = F.when(up, -quotient).otherwise(quotient)
-    ranked = steps.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, "party", "k")))
+    ranked = steps.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(order, F.when(up, F.col("party")).otherwise(-F.col("party")))))
     change = (
         ranked.where(F.col("rank") <= F.abs("missing"))
         .groupBy(group, "party")
