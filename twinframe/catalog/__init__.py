@@ -23,6 +23,7 @@ MODULES = (
     "generation",
     "privacy",
     "jobs",
+    "facts",
 )
 
 

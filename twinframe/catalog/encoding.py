@@ -245,7 +245,7 @@ def _(spark, sf):
 def _(spark, sf):
     real, twin = pair_unseen(spark, sf)
     joint = en.fit_joint(real.select("row_id", "c_mktsegment"), ["c_mktsegment"])
-    block = twin.select("row_id", joint.dense().alias("block"))
+    block = joint.typed(twin).select("row_id", joint.dense().alias("block"))
     return block.select("row_id", F.array_position("block", F.lit(1.0)).alias("hot_place"), F.size("block").alias("width"))
 
 
@@ -260,7 +260,7 @@ def _(spark, sf):
 def _(spark, sf):
     real, twin = pair_unseen(spark, sf)
     joint = en.fit_joint(real, CAT)
-    rows = twin.select("row_id", joint.dense().alias("v"))
+    rows = joint.typed(twin).select("row_id", joint.dense().alias("v"))
     return rows.select(
         "row_id",
         *[F.round(F.col("v")[i], 6).alias(c) for i, c in enumerate(fx.ORDER_NUM)],

@@ -46,6 +46,9 @@ AS241_F = [
 ]
 
 
+SUM_TERMS = 1000  # longest sum in a chi-squared probability
+
+
 def _horner(x: Column, high_first: list[float]) -> Column:
     return reduce(lambda acc, c: acc * x + F.lit(c), high_first[1:], F.lit(high_first[0]))
 
@@ -100,9 +103,24 @@ def add_norm_ppf(df: DataFrame, columns: dict[str, str], edge: float = 1e-9) ->
 def chi2_sf(stat: Column, dof: Column) -> Column:
     """P(X > stat) for a chi-squared X with whole degrees of freedom.
 
-    Finite sums in closed form; terms are kept as logarithms so that thousands of degrees of
-    freedom do not underflow.
+    Finite sums in closed form up to a thousand terms, kept as logarithms so that they do not
+    underflow. Beyond, where a sum per row would grow with the table, Temme's uniform expansion
+    with two terms is exact to better than 1e-7.
     """
+    closed = _chi2_sf_sum(stat, F.least(dof, F.lit(2 * SUM_TERMS)))
+    a, ratio = dof / 2.0, stat / dof
+    off = ratio - 1.0
+    eta = F.signum(off) * F.sqrt(2.0 * F.greatest(off - F.log(F.greatest(ratio, F.lit(1e-300))), F.lit(0.0)))
+    near = F.abs(off) < 1e-2
+    # Its leading coefficient 1 / off - 1 / eta, as a series where both are large.
+    series = F.lit(-1 / 3) + eta / 12.0 - eta * eta * F.lit(2 / 135)
+    lead = F.when(near, series).otherwise(F.try_divide(F.lit(1.0), off) - F.try_divide(F.lit(1.0), eta))
+    expanded = norm_cdf(-eta * F.sqrt(a)) + F.exp(-a * eta * eta / 2.0) / F.sqrt(2.0 * math.pi * a) * lead
+    wide = F.greatest(F.least(expanded, F.lit(1.0)), F.lit(0.0))
+    return F.when(stat <= 0, F.lit(1.0)).when(dof <= 2 * SUM_TERMS, closed).otherwise(wide)
+
+
+def _chi2_sf_sum(stat: Column, dof: Column) -> Column:
     half = stat / 2.0
     safe = F.greatest(half, F.lit(1e-300))
     odd = dof % 2 == 1
@@ -119,7 +137,7 @@ def chi2_sf(stat: Column, dof: Column) -> Column:
         ),
         lambda acc: acc["total"],
     )
-    head = F.when(odd, 2.0 * (1.0 - norm_cdf(F.sqrt(stat)))).otherwise(F.lit(0.0))
+    head = F.when(odd, 2.0 * (1.0 - norm_cdf(F.sqrt(F.greatest(stat, F.lit(0.0)))))).otherwise(F.lit(0.0))
     return F.when(stat <= 0, F.lit(1.0)).otherwise(F.least(head + summed, F.lit(1.0)))
 
 

@@ -142,6 +142,8 @@ def block_ends(df: DataFrame, cat_columns: list[str]) -> DataFrame:
 def _shares(weights: list[float]) -> list[float]:
     """Shares of a total times their number; zeros lifted to the smallest positive share."""
     total = sum(weights)
+    if total <= 0:  # nothing varies, so nothing weighs more
+        return [1.0] * len(weights)
     scaled = [w / total * len(weights) for w in weights]
     smallest = min(w for w in scaled if w > 0)
     return [w if w > 0 else smallest for w in scaled]
@@ -173,7 +175,7 @@ def encoded_importance(df: DataFrame, codec: DummyCodec, weights: dict[str, floa
     spread = {(r["column"], r["value"]): math.sqrt(r["n"] / total * (1 - r["n"] / total)) for r in counts.collect()}
     dummy = _shares([spread.get(p, 0.0) for p in codec.places])
     raw = [numbers[c] for c in codec.cont_columns] + dummy
-    scale = len(raw) / sum(raw)
+    scale = len(raw) / (sum(raw) or 1.0)
     names = [*codec.cont_columns, *codec.names()]
     return [(n, w * scale) for n, w in zip(names, raw)]
 
@@ -224,6 +226,7 @@ class BitCodec:
             if c in self.low:
                 width = self.high[c] - self.low[c]
                 part = (F.col(c).cast("double") - F.lit(self.low[c])) / F.lit(width) if width else F.lit(0.0)
+                part = F.greatest(F.least(part, F.lit(1.0)), F.lit(0.0))  # a value outside the fitted range counts as its end
                 whole = (part * F.lit(float(2**NUMBER_BITS - 1))).cast("long")
             else:
                 whole = F.col(c)

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from twinframe.functions.hashing import fast_normal, fast_uniform
 from twinframe.functions.special import add_norm_cdf, add_norm_ppf, gamma_cdf
+from twinframe.operators.dependence import correlation
 
 FAMILIES = ("norm", "truncnorm", "uniform", "gamma")
 GRID = 512  # nodes of a tabulated gamma marginal
 Z_LIMIT = 6.0
 EDGE = 1e-9
-NUMBER_PARAMS = ("mean", "sd", "lo", "hi", "below", "upto", "theta", "top")
+NUMBER_PARAMS = ("mean", "sd", "lo", "hi", "below", "upto", "theta", "base", "top")
 MAX_LEVELS = 10_000  # categories of one column in one model
 
 
@@ -69,19 +70,20 @@ class CopulaModels:
         return self.spark.createDataFrame(out, f"{heads}a string, b string, corr double")
 
 
-def _gamma_table(shape: float) -> tuple[float, list[float], list[float]]:
+def _gamma_table(shape: float) -> tuple[float, float, list[float], list[float]]:
     """Normal scores on an even grid of the cube root, and cube roots on an even grid of scores.
 
     The cube root of a gamma variable is close to normal, so both curves are nearly straight.
     """
     top = (shape + Z_LIMIT * max(shape, 1.0) ** 0.5 + 25.0) ** (1 / 3)
-    roots = np.linspace(0.0, top, GRID)
+    low = max(shape - 2 * Z_LIMIT * shape**0.5, 0.0) ** (1 / 3)  # below lies nothing that the limit on scores shows
+    roots = np.linspace(low, top, GRID)
     probs = np.clip(gamma_cdf(shape, roots**3), EDGE, 1 - EDGE)
     scores = np.array([NormalDist().inv_cdf(p) for p in probs])
     inside = np.flatnonzero((probs > EDGE) & (probs < 1 - EDGE))
     inside = np.arange(max(inside[0] - 1, 0), min(inside[-1] + 2, GRID))
     even = np.linspace(-Z_LIMIT, Z_LIMIT, GRID)
-    return float(top), scores.tolist(), np.interp(even, scores[inside], roots[inside]).tolist()
+    return float(low), float(top), scores.tolist(), np.interp(even, scores[inside], roots[inside]).tolist()
 
 
 def _read_grid(nodes: Column, place: Column) -> Column:
@@ -105,16 +107,16 @@ def _scores(models: CopulaModels, placed: DataFrame, keep: list[str], row_id: st
         if kind[i] in ("norm", "truncnorm"):
             first[f"z{i}"] = (x - p("mean", i)) / p("sd", i)
         elif kind[i] == "uniform":
-            first[f"u{i}"] = (x - p("lo", i)) / (p("hi", i) - p("lo", i))
+            first[f"u{i}"] = F.try_divide(x - p("lo", i), p("hi", i) - p("lo", i))  # null on a constant
         elif kind[i] == "gamma":
             root = F.pow(F.greatest((x - p("lo", i)) / p("theta", i), F.lit(0.0)), F.lit(1 / 3))
-            first[f"g{i}"] = root / p("top", i) * (GRID - 1)
+            first[f"g{i}"] = (root - p("base", i)) / (p("top", i) - p("base", i)) * (GRID - 1)
         else:
             first[f"g{i}"] = F.array_position(p("labels", i), F.col(c).cast("string")).cast("int")
     out = placed.withColumns(first)
     truncated = [i for i in kind if kind[i] == "truncnorm"]
     out = add_norm_cdf(out, {f"g{i}": f"z{i}" for i in truncated})
-    second = {f"u{i}": (p("g", i) - p("below", i)) / (p("upto", i) - p("below", i)) for i in truncated}
+    second = {f"u{i}": F.try_divide(p("g", i) - p("below", i), p("upto", i) - p("below", i)) for i in truncated}
     for i, c in enumerate(models.columns):
         if kind[i] == "gamma":
             second[f"z{i}"] = _read_grid(p("forward", i), p("g", i))
@@ -140,7 +142,7 @@ def _values(models: CopulaModels, scored: DataFrame, keep: list[str]) -> DataFra
     for i, c in enumerate(models.columns):
         if kind[i] == "category":
             place = F.size(F.filter(p("shares", i), _below(f"u{i}")))
-            values.append(F.get(p("labels", i), F.least(place, F.size(p("labels", i)) - 1)).alias(c))
+            values.append(F.get(p("labels", i), F.least(place, F.size(p("labels", i)) - 1)).cast(models.types[c]).alias(c))
             continue
         if kind[i] == "uniform":
             x = p("lo", i) + p("u", i) * (p("hi", i) - p("lo", i))
@@ -159,6 +161,46 @@ def _below(name: str):
     return lambda share: share < F.col(name)
 
 
+def truncated_moments(mean: float, sd: float, low: float, high: float) -> tuple[float, float]:
+    """Mean and deviation of the normal that has these moments once cut to [low, high].
+
+    For a given deviation the centre is found by bisection (the cut mean grows with it), and the
+    deviation by bisection over that (the cut deviation grows with it). Data at least as wide as
+    uniform ones get a normal twice as wide as the range, which is flat over it to a few parts in a hundred.
+    """
+    width = high - low
+    if width <= 0:
+        return mean, sd
+    normal = NormalDist()
+
+    def cut(centre: float, spread: float) -> tuple[float, float]:
+        a, b = (low - centre) / spread, (high - centre) / spread
+        if a > 0:  # the far tail is mirrored, where differences of probabilities keep their digits
+            m, s = cut(low + high - centre, spread)
+            return low + high - m, s
+        mass = normal.cdf(b) - normal.cdf(a)
+        if mass < 1e-14:
+            return high, 0.0
+        fa, fb = normal.pdf(a), normal.pdf(b)
+        shift = (fa - fb) / mass
+        rest = 1 + (a * fa - b * fb) / mass - shift * shift
+        return centre + spread * shift, spread * max(rest, 0.0) ** 0.5
+
+    def centre_for(spread: float) -> float:
+        lower, upper = low - 5 * spread, high + 5 * spread  # probabilities beyond would lose their digits
+        for _ in range(80):
+            middle = (lower + upper) / 2
+            lower, upper = (middle, upper) if cut(middle, spread)[0] < mean else (lower, middle)
+        return (lower + upper) / 2
+
+    small, large = width * 1e-3, width * 2
+    for _ in range(60):
+        middle = (small * large) ** 0.5
+        small, large = (middle, large) if cut(centre_for(middle), middle)[1] < sd else (small, middle)
+    spread = (small * large) ** 0.5
+    return centre_for(spread), spread
+
+
 def _cholesky(corr: np.ndarray) -> np.ndarray:
     """Factor of the nearest usable correlation matrix."""
     values, vectors = np.linalg.eigh(np.nan_to_num(corr))
@@ -209,14 +251,16 @@ def fit_copula(
                 continue
             mean, sd, lo, hi = (float(r[f"{p}{i}"]) for p in ("mean", "sd", "lo", "hi"))
             sd = sd or 1.0
-            hi = hi if hi > lo else lo + 1.0
+            if families[c] == "truncnorm":
+                mean, sd = truncated_moments(mean, sd, lo, hi)
             row |= {f"mean{i}": mean, f"sd{i}": sd, f"lo{i}": lo, f"hi{i}": hi}
             row |= {f"below{i}": NormalDist(mean, sd).cdf(lo), f"upto{i}": NormalDist(mean, sd).cdf(hi)}
             if families[c] == "gamma":
+                mean, sd = float(r[f"mean{i}"]), float(r[f"sd{i}"]) or 1.0
                 centre = max(mean - lo, 1e-12)
                 shape = max((centre / sd) ** 2, 1e-3)
-                top, forward, back = _gamma_table(shape)
-                row |= {f"theta{i}": centre / shape, f"top{i}": top, f"forward{i}": forward, f"back{i}": back}
+                base, top, forward, back = _gamma_table(shape)
+                row |= {f"theta{i}": centre / shape, f"base{i}": base, f"top{i}": top, f"forward{i}": forward, f"back{i}": back}
         rows.append(row)
     if cat_cols:
         _add_intervals(source, columns, cat_cols, by, rows)
@@ -229,7 +273,7 @@ def fit_copula(
     scores = _scores(models, placed, by, row_id, seed)
     pairs = [(i, j) for i in range(d) for j in range(i)]
     if pairs:
-        corr = scores.groupBy(*by).agg(*[F.corr(f"z{i}", f"z{j}").alias(f"c{i}_{j}") for i, j in pairs])
+        corr = scores.groupBy(*by).agg(*[correlation(F.col(f"z{i}"), F.col(f"z{j}")).alias(f"c{i}_{j}") for i, j in pairs])
         found = {tuple(r[k] for k in by): r for r in corr.collect()}
     for row in rows:
         matrix = np.eye(d)

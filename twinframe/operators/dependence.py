@@ -12,15 +12,20 @@ from twinframe.operators.rows import align
 MAX_CATEGORIES = 10_000  # per column, where a full contingency table is asked for
 
 
-def _valid(c: Column) -> Column:
-    return F.nanvl(c, F.lit(None))
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are given; null if a column does not vary.
+
+    From covariance and deviations, as the built-in correlation divides by zero on a constant.
+    """
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.nanvl(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), F.lit(None))
 
 
 def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) for every ordered pair of columns; one aggregation over the upper triangle."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
     number = lambda c: F.col(c).cast("double")
-    row = df.agg(*[_valid(F.corr(number(a), number(b))).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(number(a), number(b)).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
     cells = [
         F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"c{k}").alias("corr"))
         for k, (a, b) in enumerate(pairs)
@@ -45,7 +50,7 @@ def mean_correlation_change(first: DataFrame, second: DataFrame, columns: list[s
 def aligned_correlation(x: DataFrame, y: DataFrame, columns: list[str], row_id: str = "row_id") -> DataFrame:
     """(column, corr): each column of one table against the same column at the same position of the other."""
     both = align(x.select(row_id, *columns), y.select(row_id, *columns), row_id)
-    row = both.agg(*[_valid(F.corr(F.col(f"x_{c}").cast("double"), F.col(f"y_{c}").cast("double"))).alias(c) for c in columns])
+    row = both.agg(*[correlation(F.col(f"x_{c}").cast("double"), F.col(f"y_{c}").cast("double")).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("corr")) for c in columns])
     return row.select(F.explode(cells).alias("e")).select("e.*")
 

@@ -218,6 +218,11 @@ class JointEncoder:
     columns: tuple[str, ...]
     scaler: Scaler
     levels: dict[str, list[str]]
+    types: dict[str, T.DataType]
+
+    def typed(self, df: DataFrame) -> DataFrame:
+        """The columns cast to the types of the real table, so that a category 3.0 is the category 3."""
+        return df.select(*[F.col(c).try_cast(self.types[c]).alias(c) if c in self.types else F.col(c) for c in df.columns])
 
     @property
     def n_features(self) -> int:
@@ -247,7 +252,8 @@ def fit_joint(real: DataFrame, discrete: list[str], row_id: str = "row_id") -> J
     cats = [c for c in columns if c in discrete]
     nums = [c for c in columns if c not in discrete]
     levels = category_lists(categories(real, cats), cats) if cats else {}
-    return JointEncoder(columns, fit_scaler(real, nums, "minmax"), levels)
+    types = {f.name: f.dataType for f in real.schema if f.name in columns}
+    return JointEncoder(columns, fit_scaler(real, nums, "minmax"), levels, types)
 
 
 # ---- quantile transform

@@ -1,8 +1,9 @@
 """Models and metrics for utility: fit on one table, score on another.
 
 Inputs carry (row_id, features array<double>, label). Linear, forest and classification models
-are Spark ML estimators with the penalties translated. The two regressors Spark ML lacks are
-fitted by full gradients: tasks sum them over their rows, the driver holds the weights only.
+are Spark ML estimators with the penalties translated. What Spark ML lacks (the support-vector
+regressor, networks with a penalty) is fitted by full gradients: tasks sum them over their rows, the
+driver holds the weights only.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ import pandas as pd
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     OneVsRest,
     RandomForestClassifier,
 )
@@ -30,18 +30,21 @@ MAX_DEPTH = 30  # deepest tree Spark ML grows
 HIDDEN = 100  # units of the hidden layer
 POLY_DEGREE = 3
 FOURIER = 256  # random features standing in for the rbf kernel
+TOLERANCE = 1e-4  # relative gain of ten gradient steps below which a fit has converged
 
 
 # ---- metrics
 
 
 def regression_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(mse, r2) in one aggregation."""
+    """(mse, r2) in one aggregation; r2 of a constant label is 1 when it is met, else 0."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     stats = predictions.agg(
         F.avg((y - p) * (y - p)).alias("mse"), F.var_pop(y).alias("spread")
     )
-    return stats.select("mse", (1 - F.col("mse") / F.col("spread")).alias("r2"))
+    return stats.select(
+        "mse", F.coalesce(1 - F.try_divide("mse", "spread"), F.when(F.col("mse") == 0, 1.0).otherwise(0.0)).alias("r2")
+    )
 
 
 def classification_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -109,13 +112,6 @@ def forest_classifier(train: DataFrame, test: DataFrame, **params) -> DataFrame:
     return model.fit(as_vectors(train)).transform(as_vectors(test)).select("row_id", "label", "prediction")
 
 
-def mlp_classifier(train: DataFrame, test: DataFrame, max_iter: int = 200, random_state: int = 42, **_) -> DataFrame:
-    shape = train.agg(F.max(F.size("features")).alias("d"), F.max("label").alias("top")).first()
-    layers = [shape["d"], HIDDEN, max(int(shape["top"]) + 1, 2)]
-    model = MultilayerPerceptronClassifier(layers=layers, maxIter=max_iter, seed=random_state)
-    return model.fit(as_vectors(train)).transform(as_vectors(test)).select("row_id", "label", "prediction")
-
-
 def _kernel_width(train: DataFrame, gamma) -> float:
     """gamma as a number: 'auto' is 1/d, 'scale' is 1/(d Var(x)) over all cells."""
     if not isinstance(gamma, str):
@@ -151,13 +147,17 @@ def svc(train: DataFrame, test: DataFrame, C: float = 1.0, kernel: str = "rbf",
     if kernel == "poly":
         expand = PolynomialExpansion(degree=POLY_DEGREE, inputCol="features", outputCol="expanded")
         a, b = (expand.transform(t).drop("features").withColumnRenamed("expanded", "features") for t in (a, b))
-    model = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * n), maxIter=max_iter))
+    model = OneVsRest(classifier=LinearSVC(regParam=1.0 / (C * n), maxIter=max_iter, standardization=False))
     # The classes of the test rows play no part in predicting them.
     return model.fit(a).transform(b).select("row_id", "label", "prediction")
 
 
 def _descend(train: DataFrame, weights: np.ndarray, gradient: Callable, steps: int, rate: float) -> tuple[np.ndarray, list[float]]:
-    """Adam on full gradients. Each step is one job: tasks return one partial sum each."""
+    """Adam on full gradients; ends after `steps`, or once ten steps gain less than TOLERANCE of the loss.
+
+    Each step is one job: tasks make one partial sum each, which are added up in the cluster, so
+    the driver gets one number a weight however many tasks there are.
+    """
     data = train.select("features", "label").persist()
     n = data.count()
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -172,11 +172,16 @@ def _descend(train: DataFrame, weights: np.ndarray, gradient: Callable, steps: i
                     if len(batch):
                         l, g = gradient(w, np.stack(batch["features"].to_numpy()), batch["label"].to_numpy(dtype=float))
                         total, loss = total + g, loss + l
-                yield pd.DataFrame({"g": [total.tolist()], "loss": [loss]})
-
-            parts = data.mapInPandas(partial, "g array<double>, loss double").collect()
-            slope = sum(np.array(p["g"]) for p in parts) / n
-            losses.append(sum(p["loss"] for p in parts) / n)
+                yield pd.DataFrame({"at": np.arange(len(total) + 1), "g": np.append(total, loss)})
+
+            parts = data.mapInPandas(partial, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+            sums = np.zeros(len(weights) + 1)
+            for part in parts:
+                sums[part["at"]] = part["g"]
+            slope = sums[:-1] / n
+            losses.append(sums[-1] / n)
+            if len(losses) > 10 and losses[-11] - min(losses[-10:]) < TOLERANCE * max(abs(losses[-11]), 1e-12):
+                break
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope**2
             move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -194,8 +199,18 @@ def _predict(test: DataFrame, function: Callable) -> DataFrame:
     return test.select("row_id", "label", predict("features").alias("prediction"))
 
 
-def svr(train: DataFrame, test: DataFrame, C: float = 1.0, epsilon: float = 0.1, max_iter: int = 60, **_) -> DataFrame:
-    """Linear epsilon-insensitive regression: |w|^2 / 2 + C sum of losses beyond epsilon."""
+def svr(
+    train: DataFrame, test: DataFrame, C: float = 1.0, epsilon: float = 0.1, kernel: str = "rbf", gamma="scale", max_iter: int = 200, **_
+) -> DataFrame:
+    """Epsilon-insensitive regression, |w|^2 / 2 + C sum of losses beyond epsilon.
+
+    The kernel is `linear`, or `rbf` by random features.
+    """
+    if kernel not in ("linear", "rbf"):
+        raise ValueError(f"kernel {kernel!r} has no explicit feature map")
+    if kernel == "rbf":
+        width, dims = _kernel_width(train, gamma), len(train.select("features").first()[0])
+        train, test = fourier_features(train, width, dims), fourier_features(test, width, dims)
     n, d = _size(train), len(train.select("features").first()[0])
 
     def gradient(w, x, y):
@@ -252,6 +267,47 @@ def mlp_regressor(
     return _predict(test, lambda x: forward(w, x)[1])
 
 
+def mlp_classifier(
+    train: DataFrame, test: DataFrame, alpha: float = 1e-4, max_iter: int = 200, random_state: int = 42, **_
+) -> DataFrame:
+    """One hidden layer of rectified units, softmax over the classes, L2 penalty alpha."""
+    shape = train.agg(F.count("label").alias("n"), F.max(F.size("features")).alias("d"), F.max("label").alias("top")).first()
+    n, d, classes = max(shape["n"], 1), shape["d"], max(int(shape["top"]) + 1, 2)
+    cuts = np.cumsum([d * HIDDEN, HIDDEN, HIDDEN * classes])
+    rng = np.random.default_rng(random_state)
+    start = np.concatenate(
+        [
+            rng.uniform(-1, 1, d * HIDDEN) * math.sqrt(6 / (d + HIDDEN)),
+            np.zeros(HIDDEN),
+            rng.uniform(-1, 1, HIDDEN * classes) * math.sqrt(6 / (HIDDEN + classes)),
+            np.zeros(classes),
+        ]
+    )
+
+    def forward(w, x):
+        a, b, c, e = np.split(w, cuts)
+        hidden = np.maximum(x @ a.reshape(d, HIDDEN) + b, 0.0)
+        return hidden, hidden @ c.reshape(HIDDEN, classes) + e
+
+    def gradient(w, x, y):
+        a, _b, c, _e = np.split(w, cuts)
+        hidden, out = forward(w, x)
+        out = out - out.max(axis=1, keepdims=True)
+        chance = np.exp(out)
+        chance /= chance.sum(axis=1, keepdims=True)
+        hit = chance[np.arange(len(y)), y.astype(int)]
+        gap = chance
+        gap[np.arange(len(y)), y.astype(int)] -= 1.0
+        back = (gap @ c.reshape(HIDDEN, classes).T) * (hidden > 0)
+        share = len(y) / n
+        grads = [(x.T @ back).ravel() + share * alpha * a, back.sum(axis=0), (hidden.T @ gap).ravel() + share * alpha * c, gap.sum(axis=0)]
+        loss = -np.log(np.maximum(hit, 1e-300)).sum() + share * alpha * (a @ a + c @ c) / 2
+        return loss, np.concatenate(grads)
+
+    w, _losses = _descend(train, start, gradient, max_iter, 0.02)
+    return _predict(test, lambda x: forward(w, x)[1].argmax(axis=1).astype(float))
+
+
 REGRESSORS = {"ridge": ridge, "svr": svr, "rfr": forest_regressor, "mlpr": mlp_regressor}
 CLASSIFIERS = {"logistic": logistic, "svc": svc, "rfc": forest_classifier, "mlpc": mlp_classifier}
 

@@ -214,7 +214,7 @@ def nearest(
 
 def vectors(df: DataFrame, joint: JointEncoder, keep: list[str]) -> DataFrame:
     """The compact form of the joint matrix: numbers, then one code per category column."""
-    return df.select(*keep, F.concat(joint.numbers(), joint.codes()).alias("vec"))
+    return joint.typed(df).select(*keep, F.concat(joint.numbers(), joint.codes()).alias("vec"))
 
 
 def nearest_distances(

@@ -193,10 +193,10 @@ def null_counts(df: DataFrame, row_id: str = "row_id") -> DataFrame:
 
 
 def check_compatible(real: DataFrame, synthetic: DataFrame) -> None:
-    """Same number of columns, then same names in the same order."""
+    """Same number of columns, then the same names in any order, repeated names counted."""
     if len(real.columns) != len(synthetic.columns):
         raise ValueError("real and synthetic tables differ in their number of columns")
-    if set(real.columns) != set(synthetic.columns):
+    if sorted(real.columns) != sorted(synthetic.columns):
         raise ValueError("real and synthetic tables differ in their column names")
 
 

@@ -83,19 +83,37 @@ def tune(
     """Trials of one model: validation MSE (to minimise) or weighted F1 (to maximise)."""
     regression = model in REGRESSORS
     fit = REGRESSORS[model] if regression else CLASSIFIERS[model]
+    # A fixed value takes the place of its range, so that trials record what they used.
+    space = {**(space or SPACES[model]), **{name: ("choice", [value]) for name, value in (fixed or {}).items()}}
 
     def objective(params):
-        predictions = fit(train, val, **{**params, **(fixed or {})})
+        predictions = fit(train, val, **params)
         return regression_metrics(predictions).first()["mse"] if regression else classification_metrics(predictions).first()["f1"]
 
-    return run_trials(train.sparkSession, space or SPACES[model], objective, n_trials, seed, parallelism)
+    return run_trials(train.sparkSession, space, objective, n_trials, seed, parallelism)
 
 
 def best_trial(trials: DataFrame, direction: str = "minimise", by: list[str] | None = None) -> DataFrame:
-    """(by..., number, value) of the best trial; of equal values the lowest number wins."""
+    """(by..., number, value, params) of the best trial; of equal values the lowest number wins.
+
+    `params` is there if the trials have it.
+    """
     score = F.col("value") if direction == "minimise" else -F.col("value")
-    best = F.min_by(F.struct("number", "value"), F.struct(score, "number")).alias("best")
-    return trials.groupBy(*(by or [])).agg(best).select(*(by or []), "best.number", "best.value")
+    shown = [c for c in ("number", "value", "params") if c in trials.columns]
+    best = F.min_by(F.struct(*shown), F.struct(score, "number")).alias("best")
+    return trials.groupBy(*(by or [])).agg(best).select(*(by or []), *[f"best.{c}" for c in shown])
+
+
+def typed_params(space: dict[str, tuple], params: dict[str, str]) -> dict:
+    """Recorded parameters as the values a model takes: numbers as numbers, choices as they were."""
+    out = {}
+    for name, text in params.items():
+        kind, *rest = space[name]
+        if kind == "choice":
+            out[name] = next(v for v in rest[0] if str(v) == text)
+        else:
+            out[name] = int(text) if kind == "int" else float(text)
+    return out
 
 
 def merge_trials(parts: DataFrame, worker: str = "worker", number: str = "number") -> DataFrame:
