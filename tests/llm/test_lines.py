@@ -36,9 +36,11 @@ def test_banded_distance(spark, most):
 def test_segments_meet_for_every_near_pair(spark):
     rows = [(a, b) for a, b in pairs(9, 1500) if min(len(a), len(b)) >= 6 and len(a) >= len(b) and cases.edit_distance(a, b) <= 2]
     assert len(rows) > 100
-    found = spark.createDataFrame(rows, "a string, b string").select(
-        F.arrays_overlap(lines.probe_keys(F.col("a"), 2), lines.index_keys(F.col("b"), 2)).alias("meet"),
-        lines.may_be_near(lines.letter_counts(F.col("a")), lines.letter_counts(F.col("b")), 2).alias("near"),
+    own = [at for at, (d, _, shift) in enumerate(lines.probe_places(2)) if d == shift == 0]
+    probing = spark.createDataFrame(rows, "line string, b string").withColumn("probes", lines.probe_keys(2))
+    found = probing.withColumnRenamed("line", "a").withColumnRenamed("b", "line").withColumn("index", lines.probe_keys(2)).select(
+        F.arrays_overlap("probes", F.array(*[F.col("index")[i] for i in own])).alias("meet"),
+        lines.may_be_near(lines.letter_counts(F.col("a")), lines.letter_counts(F.col("line")), 2).alias("near"),
     )
     assert all(r.meet and r.near for r in found.collect())
 
@@ -52,7 +54,7 @@ def brute(rows, most=2, least=20):
         mark = xxhash.xxh64_intdigest(text.encode(), 42)
         mark -= (mark >> 63) << 64
         for n, line in enumerate(text.split("\n")):
-            line = line.strip(" \t\r\x0b\x0c")
+            line = line.translate(str.maketrans("\t\r\x0b\x0c", "    ")).strip(" ")
             if len(line) >= least:
                 places.append(((doc is None, doc or 0, mark, n), line))
     names = sorted({line for _, line in places})
