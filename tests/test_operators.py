@@ -225,12 +225,15 @@ def test_copula_keeps_correlation(spark):
     assert abs(got - df.agg(F.corr("x", "y")).first()[0]) < 0.05
 
 
-def test_transport_interval_holds_the_sorted_distance():
+@pytest.mark.parametrize("resolution", [30, 10_000])
+def test_transport_interval_holds_the_sorted_distance(spark, resolution):
     rng = np.random.default_rng(3)
-    x, y = rng.normal(size=(400, 1)), rng.normal(size=(400, 1)) + 0.4
-    low, high = tr.sinkhorn_interval(tr.cost_block(x, y, 1, "euclidean"), np.ones(400) / 400, np.ones(400) / 400)
-    exact = np.abs(np.sort(x[:, 0]) - np.sort(y[:, 0])).mean()
-    assert low - 1e-5 <= exact <= high + 1e-5 and high - low < 0.1 * exact
+    x, y = rng.normal(size=400), rng.normal(size=400) + 0.4
+    frame = lambda v: spark.createDataFrame([(i, float(t)) for i, t in enumerate(v)], "row_id long, x double")
+    exact = np.abs(np.sort(x) - np.sort(y)).mean()
+    got = tr.wasserstein_numeric(frame(x), frame(y), ["x"], "euclidean", resolution).first()
+    assert got["lower"] - 1e-5 <= exact <= got["upper"] + 1e-5
+    assert got["upper"] - got["lower"] < (0.1 if resolution > 400 else 1.0) * exact
 
 
 def test_transport_bounds_enclose_each_other(spark, sf):
@@ -240,7 +243,7 @@ def test_transport_bounds_enclose_each_other(spark, sf):
     assert 0 < tight["lower"] <= tight["estimate"] <= tight["upper"] <= loose + 1e-6
     same = tr.sorted_coupling(real, real, fx.PART_NUM, fx.PART_CAT).first()["upper"]
     assert abs(same) < 1e-12
-    drawn = tr.cal_fidelity(real, syn, fx.PART_NUM, fx.PART_CAT, limits=(50, 3)).first()
+    drawn = tr.cal_fidelity(real, syn, fx.PART_NUM, fx.PART_CAT, sample=(50, 3)).first()
     assert drawn["draws"] == 3 and drawn["lower"] <= drawn["wasserstein_gower"] <= drawn["upper"]
 
 
