@@ -1,20 +1,20 @@
 """Global order without a global window.
 
 A cumulative sum over a whole table in one window runs in one task. Here each group is cut
-into quantile buckets, the bucket totals (a few hundred rows) are accumulated, and the rows
+into quantile buckets, the bucket totals (a few rows for each shuffle partition) are accumulated, and the rows
 are accumulated inside their bucket only. Results are exact for any bucket bounds; the bounds
 decide only how evenly the work is spread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from twinframe.functions.hashing import rnd
 
-BUCKETS = 128
+LEAST_BUCKETS = 128
 HASH_BUCKETS = 65536
 
 
@@ -39,10 +39,15 @@ def count_below(bounds: Column, value: Column, size: int) -> Column:
     )
 
 
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of a group: four for each shuffle partition, so that they follow the size of the cluster."""
+    return max(LEAST_BUCKETS, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _with_buckets(df: DataFrame, key: str, groups: list[str], buckets: int) -> DataFrame:
     probs = [i / buckets for i in range(1, buckets)]
     # One row per group (an unpivoted column, a dataset label): small by construction.
-    bounds = df.groupBy(*groups).agg(F.percentile_approx(key, probs, F.lit(10_000)).alias("_bounds"))
+    bounds = df.groupBy(*groups).agg(F.percentile_approx(key, probs, F.lit(max(10_000, 10 * buckets))).alias("_bounds"))
     placed = df.join(F.broadcast(bounds), groups)
     return placed.withColumn("_bucket", count_below(F.col("_bounds"), F.col(key), buckets)).drop("_bounds")
 
@@ -52,7 +57,7 @@ def running_totals(
     key: str,
     weights: list[str],
     groups: list[str] | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Adds `cum_<w>` (inclusive) and `all_<w>` for each weight, and `next_<key>`, per group.
 
@@ -60,6 +65,7 @@ def running_totals(
     values, so a value shared by a third of all rows is one row here.
     """
     groups = list(groups or [])
+    buckets = buckets or bucket_count(df.sparkSession)
     group_key = groups or ["_g"]
     if not groups:
         df = df.withColumn("_g", F.lit(0))
@@ -79,7 +85,7 @@ def running_totals(
     )
     inside = W.partitionBy(*group_key, "_bucket").orderBy(key)
     upto = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
-    # At most `buckets` rows per group, so the broadcast has a fixed bound.
+    # At most `buckets` rows of a few numbers per group; groups are columns, labels or draws.
     out = placed.join(F.broadcast(offsets), [*group_key, "_bucket"])
     out = out.withColumns(
         {
@@ -90,7 +96,7 @@ def running_totals(
     return out.drop("_bucket", "_next_low", *[f"_before_{w}" for w in weights], *([] if groups else ["_g"]))
 
 
-def dense_index(df: DataFrame, key: str, name: str = "row_index", buckets: int = BUCKETS) -> DataFrame:
+def dense_index(df: DataFrame, key: str, name: str = "row_index", buckets: int | None = None) -> DataFrame:
     """0-based position of each row in the order of a unique key."""
     counted = running_totals(df.withColumn("_w", F.lit(1).cast("long")), key, ["_w"], buckets=buckets)
     return counted.withColumn(name, F.col("cum__w") - 1).drop("_w", "cum__w", "all__w", f"next_{key}")
