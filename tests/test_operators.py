@@ -302,3 +302,30 @@ def test_svc_kernels(spark):
     assert score(kernel="rbf") > 0.9 and score(kernel="poly") > 0.9
     with pytest.raises(ValueError):
         md.svc(df, df, kernel="sigmoid")
+
+
+def test_scratch_is_removed(spark):
+    from twinframe.session import clear_scratch, scratch_path
+
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+
+
+def test_params_come_back_typed():
+    from twinframe.operators.search import SPACES, draw, typed_params
+
+    for space in SPACES.values():
+        params = draw(space, 3)
+        assert typed_params(space, {k: str(v) for k, v in params.items()}) == params
+
+
+@pytest.mark.parametrize("dof", [1500, 2001, 4000, 20_001])
+def test_wide_chi_squared_against_the_sum(spark, dof):
+    from twinframe.functions import special
+
+    stats = spark.createDataFrame([(float(dof + k * (2 * dof) ** 0.5),) for k in (-3.0, -1.0, -0.01, 0.0, 0.02, 1.0, 3.0)], "s double")
+    out = stats.select(special.chi2_sf(F.col("s"), F.lit(dof)).alias("p"), special._chi2_sf_sum(F.col("s"), F.lit(dof)).alias("q"))
+    assert all(abs(r.p - r.q) < 1e-6 for r in out.collect())
