@@ -139,14 +139,15 @@ def test_url_parts_and_rules(spark):
 
 def test_bad_branch_is_told_from_its_siblings(spark):
     rng = random.Random(3)
-    rows = [(f"a.com", f"/{d}/{rng.randrange(10**6)}", 0 if d == "spam" else 1) for d in ("news", "blog", "spam") for _ in range(60)]
+    names = [*(f"topic{c}" for c in "abcdefghij"), "spam"]
+    rows = [("a.com", f"/{d}/{rng.randrange(10**6)}", 0 if d == "spam" else 1) for d in names for _ in range(60)]
     rows += [("b.com", f"/x/{rng.randrange(10**6)}", rng.random() < 0.9) for _ in range(60)]
     labels = spark.createDataFrame([(h, p, int(g)) for h, p, g in rows], "host string, path string, good int")
     pages = spark.createDataFrame([(i, f"http://{h}{p}") for i, (h, p, _) in enumerate(rows)] + [(999, "http://a.com/spam/77.html")], "page_id long, url string")
     found = {r.id: r for r in urls.judge(pages, labels).collect()}
     assert all((found[i].verdict == "block") == ("/spam/" in p) for i, (_, p, _) in enumerate(rows))
     assert {found[i].template for i, (h, p, _) in enumerate(rows) if "/spam/" not in p} == {"/*/*", "/x/*"}
-    assert found[0].template == found[70].template != found[130].template
+    assert found[0].template == found[70].template != found[605].template == found[999].template.replace(".html", "")
 
 
 def test_url_query_on_given_pages(spark, sf):
