@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -10,9 +11,13 @@ from tests.llm import cases
 from twinframe.llm import packing, sharding
 
 
+@lru_cache
+def tokenizer():
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
 def reference_ids(text):
-    tokenizer = reference_ids.__dict__.setdefault("t", Tokenizer.from_file(packing.tokenizer_path()))
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*tokenizer().encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_encoder_agrees_with_the_tokenizer():
