@@ -33,7 +33,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; a document that has only such lines goes."""
-    done = lines.deduplicate(docs)
+    done = lines.deduplicate(docs, least_chars=lines.EVERY_LINE)
     emptied = (F.col("line_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return recounted(done.where(~emptied).select(*docs.columns))
 

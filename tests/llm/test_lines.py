@@ -4,8 +4,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm import cases
 from twinframe.llm import lines
+from twinframe.llm.queries import QUERIES
 
 
 def pairs(seed, n=600):
@@ -100,3 +102,20 @@ def test_no_lines(spark):
     assert lines.deduplicate(cases.table(spark, [])).count() == 0
     short = cases.table(spark, [(1, "same\nsame\n", "en", "s", 0), (2, "same", "en", "s", 0)])
     assert sorted(r.text for r in lines.deduplicate(short).collect()) == ["same", "same\nsame\n"]
+
+
+def test_short_lines_take_part(spark):
+    texts = ["Les.\nLes.\nnew one", "Les.\nLen.\n\n a", "so\na\n\nhello there", "hello thera\nno\nso", "Len.\n \nx"]
+    docs = cases.table(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    found = lines.deduplicate(docs, least_chars=lines.EVERY_LINE)
+    # Under LEAST_NEAR characters equality counts, from there on two edits; blank lines stay.
+    expected = ["Les.\nnew one", "Len.\n\n a", "so\n\nhello there", "no", " \nx"]
+    assert [r.text for r in found.orderBy("doc_id").collect()] == expected
+
+
+def test_query_and_pipeline_drop_short_lines(spark, tmp_path):
+    docs = cases.table(spark, [(i, f"Les.\nline number {i * 7919} of many", "en", "s", 0) for i in range(3)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.line_dropped for r in QUERIES["op10_lines"](spark, str(tmp_path)).collect()) == [0, 1, 1]
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"]
+    assert sum(r.text.startswith("Les.") for r in stage(spark, docs, str(tmp_path)).collect()) == 1

@@ -126,7 +126,7 @@ def op9_sharding(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_lines")
 def op10_lines(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return lines.deduplicate(docs).select(
+    return lines.deduplicate(docs, least_chars=lines.EVERY_LINE).select(
         "doc_id",
         F.col("line_total").cast("long").alias("line_total"),
         F.col("line_dropped").cast("long").alias("line_dropped"),
