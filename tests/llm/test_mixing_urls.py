@@ -150,6 +150,25 @@ def test_bad_branch_is_told_from_its_siblings(spark):
     assert found[0].template == found[70].template != found[605].template == found[999].template.replace(".html", "")
 
 
+def templates(spark, rows):
+    """Template and purity of every (path of a.com, pages, labelled, good), by path."""
+    columns = "segments array<string>, n int, good int"
+    data = [(p.split("/")[1:], n, g) for p, pages, bad, good in rows for n, g in ((pages, None), (bad, 0), (good, 1)) if n]
+    pages = spark.createDataFrame(data, columns).select(F.lit("a.com").alias("host"), "segments", "good", F.explode(F.sequence(F.lit(1), "n")))
+    leaves = urls.grow_templates(pages.drop("col"))
+    judged = leaves.join(urls.judge_templates(leaves), ["host", "template"]).collect()
+    return {"/" + "/".join(r.segments): (r.template, r.rejected) for r in judged}
+
+
+def test_rare_bad_sections_of_a_hot_host_stand(spark):
+    rows = [("/news/*", 80_000, 0, 3_000), ("/blog/*", 79_000, 0, 3_000), ("/spam/*", 800, 800, 0), ("/few/*", 5, 15, 0)]
+    rows += [(f"/slug{i}/*", 2, int(i == 7), int(i != 7)) for i in range(200)]
+    found = templates(spark, rows)
+    assert found["/spam/*"] == ("/spam/*", True) and found["/few/*"] == ("/few/*", True)
+    # One label of many branches is no evidence.
+    assert not found["/slug7/*"][1] and found["/slug7/*"][0] == found["/slug8/*"][0]
+
+
 def test_url_query_on_given_pages(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = QUERIES["op7_urls"](spark, sf).collect()

@@ -9,6 +9,7 @@ Built from column expressions alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,9 @@ from twinframe.llm.shared import stash
 WILDCARD = "*"
 #: Levels of the tree; what lies deeper is one last wildcard, so longer paths share a template.
 DEPTH = 4
-#: A branch needs this many pages and this part of its parent's to stand for itself.
-LEAST_PAGES = 20
-LEAST_SHARE = 0.01
-#: Standard deviations by which a branch's purity must differ from its parent's, else they merge.
-LEAST_DEVIATION = 2.58
+#: A branch stands for itself if its labels would come about among its siblings' by chance with less than
+#: this probability, over all branches of its parent together; else it merges into them.
+LEAST_CHANCE = 0.01
 #: Labelled pages the prior counts for, and the purity below which a template is rejected.
 PRIOR_PAGES = 10.0
 LEAST_PURITY = 0.5
@@ -71,6 +70,20 @@ def general_segments(path: Column, depth: int = DEPTH) -> Column:
     return F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit(WILDCARD * 2)))).otherwise(shaped)
 
 
+def chance_of_branch() -> Column:
+    """Bound of the logarithm of the chance that some branch differs from its parent as much as this one.
+
+    The number of good among a branch's labels is hypergeometric given the counts of its parent. Its
+    tail is at most exp(-labels x divergence), for one label as for a million; the bound is counted
+    twice for two sides and once for each branch. Pages without labels do not matter.
+    """
+    labelled, here = F.col("labelled").cast("double"), F.col("good") / F.col("labelled")
+    there = F.col("all_good") / F.col("all_labelled")
+    good = F.when(F.col("good") > 0, here * F.log(here / there)).otherwise(0.0)
+    bad = F.when(F.col("good") < F.col("labelled"), (1 - here) * F.log((1 - here) / (1 - there))).otherwise(0.0)
+    return F.when(labelled > 0, F.log(2.0 * F.col("branches")) - labelled * (good + bad)).otherwise(F.lit(math.inf))
+
+
 def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
     """Template of each (host, segments) of (host, segments, good): the reduced tree of every host.
 
@@ -92,16 +105,7 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
         parents = branches.groupBy("host", "template").agg(
             *[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")], F.count("*").alias("branches")
         )
-        purity = (F.col("all_good") + 1) / (F.col("all_labelled") + 2)
-        deviation = F.abs(F.col("good") - F.col("labelled") * purity) / F.sqrt(
-            F.greatest(F.col("labelled"), F.lit(1)) * purity * (1 - purity)
-        )
-        stands = (
-            (F.col("branches") == 1)
-            | (F.col("pages") >= LEAST_PAGES)
-            & (F.col("pages") >= F.col("all_pages") * LEAST_SHARE)
-            & (deviation >= LEAST_DEVIATION)
-        )
+        stands = (F.col("branches") == 1) | (chance_of_branch() <= math.log(LEAST_CHANCE))
         kept = branches.join(parents, ["host", "template"]).select(
             "host", "template", "segment", F.when(stands, F.col("segment")).otherwise(WILDCARD).alias("shown")
         )
