@@ -169,6 +169,13 @@ def test_rare_bad_sections_of_a_hot_host_stand(spark):
     assert not found["/slug7/*"][1] and found["/slug7/*"][0] == found["/slug8/*"][0]
 
 
+def test_branches_that_differ_in_deep_segments(spark):
+    rows = [("/en/*/*/*/spam/*", 50, 40, 0), ("/en/*/*/*/news/*", 50, 0, 40), ("/de/a/b/c/d/e/bad/*/x", 50, 40, 0), ("/de/a/b/c/d/e/ok/*/y", 50, 0, 40)]
+    found = templates(spark, rows)
+    assert {p: r for p, (_, r) in found.items()} == {p: bool(bad) for p, _, bad, _ in rows}
+    assert "/spam" in found["/en/*/*/*/spam/*"][0] and "/bad" in found["/de/a/b/c/d/e/bad/*/x"][0]
+
+
 def test_url_query_on_given_pages(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     found = QUERIES["op7_urls"](spark, sf).collect()

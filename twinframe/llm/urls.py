@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from twinframe.llm.shared import stash
 
 WILDCARD = "*"
-#: Levels of the tree; what lies deeper is one last wildcard, so longer paths share a template.
-DEPTH = 4
+#: Levels grown in any case; deeper ones only where labels of both kinds are left, which could be split.
+PLAIN_LEVELS = 4
 #: A branch stands for itself if its labels would come about among its siblings' by chance with less than
 #: this probability, over all branches of its parent together; else it merges into them.
 LEAST_CHANCE = 0.01
@@ -58,16 +58,15 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return rule, verdict
 
 
-def general_segments(path: Column, depth: int = DEPTH) -> Column:
-    """The first segments of a path with numbers and ids as wildcards, and one wildcard for the rest."""
+def general_segments(path: Column) -> Column:
+    """The segments of a path with numbers and ids as wildcards."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(
-        F.slice(parts, 1, depth),
+    return F.transform(
+        parts,
         lambda s: F.when(s.rlike(r"^\d+(\.\w+)?$"), F.regexp_replace(s, r"^\d+", WILDCARD))
         .when(s.rlike(r"^[0-9A-Fa-f]{8,}$") | s.rlike(r"^[0-9A-Fa-f-]{36}$"), F.lit(WILDCARD))
         .otherwise(s),
     )
-    return F.when(F.size(parts) > depth, F.concat(shaped, F.array(F.lit(WILDCARD * 2)))).otherwise(shaped)
 
 
 def chance_of_branch() -> Column:
@@ -84,11 +83,13 @@ def chance_of_branch() -> Column:
     return F.when(labelled > 0, F.log(2.0 * F.col("branches")) - labelled * (good + bad)).otherwise(F.lit(math.inf))
 
 
-def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
+def grow_templates(pages: DataFrame) -> DataFrame:
     """Template of each (host, segments) of (host, segments, good): the reduced tree of every host.
 
     `good` is 1 or 0 for a label, null for a page. Pages are added up by equal segments first, so a host that fills a third
-    of the table arrives as sums. Each level joins the sums of a branch with those of its parent.
+    of the table arrives as sums. Each level joins the sums of a branch with those of its parent, as
+    long as segments are left. From PLAIN_LEVELS on, what lies below a branch without labels of both
+    kinds is one last wildcard: nothing below it can differ from it.
     Returns (host, segments, template, pages, labelled, good).
     """
     leaves = stash(
@@ -96,9 +97,10 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             F.count(F.when(F.col("good").isNull(), 1)).alias("pages"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")
         ),
         "paths",
-    ).withColumn("template", F.lit("").cast("string"))
-    for level in range(depth + 1):
-        segment = F.when(F.size("segments") > level, F.element_at("segments", level + 1))
+    ).withColumns({"template": F.lit("").cast("string"), "ended": F.lit(False)})
+    level = 0
+    while not leaves.where(~F.col("ended") & (F.size("segments") > level)).isEmpty():
+        segment = F.when(~F.col("ended") & (F.size("segments") > level), F.element_at("segments", level + 1))
         rows = leaves.withColumn("segment", segment)
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "good")]
         branches = rows.where("segment is not null").groupBy("host", "template", "segment").agg(*sums)
@@ -106,9 +108,9 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             *[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "good")], F.count("*").alias("branches")
         )
         stands = (F.col("branches") == 1) | (chance_of_branch() <= math.log(LEAST_CHANCE))
-        kept = branches.join(parents, ["host", "template"]).select(
-            "host", "template", "segment", F.when(stands, F.col("segment")).otherwise(WILDCARD).alias("shown")
-        )
+        ends = F.lit(level >= PLAIN_LEVELS) & ((F.col("all_good") == 0) | (F.col("all_good") == F.col("all_labelled")))
+        shown = F.when(ends, WILDCARD * 2).when(stands, F.col("segment")).otherwise(WILDCARD)
+        kept = branches.join(parents, ["host", "template"]).select("host", "template", "segment", shown.alias("shown"), ends.alias("ends"))
         leaves = rows.join(kept, ["host", "template", "segment"], "left").select(
             "host",
             "segments",
@@ -116,9 +118,11 @@ def grow_templates(pages: DataFrame, depth: int = DEPTH) -> DataFrame:
             "labelled",
             "good",
             F.when(F.col("shown").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "shown")).alias("template"),
+            (F.col("ended") | F.coalesce("ends", F.lit(False))).alias("ended"),
         )
         leaves = stash(leaves, f"level-{level}")
-    return leaves
+        level += 1
+    return leaves.drop("ended")
 
 
 def judge_templates(leaves: DataFrame, prior_pages: float = PRIOR_PAGES, least_purity: float = LEAST_PURITY) -> DataFrame:
@@ -134,7 +138,6 @@ def judge(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = (),
-    depth: int = DEPTH,
     least_purity: float = LEAST_PURITY,
     id_col: str = "page_id",
     url_col: str = "url",
@@ -148,16 +151,16 @@ def judge(
     rows = pages.select(
         F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")
     )
-    named = rows.select("host", general_segments(F.col("path"), depth).alias("segments"), F.lit(None).cast("int").alias("good"))
+    named = rows.select("host", general_segments(F.col("path")).alias("segments"), F.lit(None).cast("int").alias("good"))
     known = labels.where("host is not null and path is not null and good is not null").select(
-        "host", general_segments(F.col("path"), depth).alias("segments"), F.col("good").cast("int").alias("good")
+        "host", general_segments(F.col("path")).alias("segments"), F.col("good").cast("int").alias("good")
     )
-    leaves = grow_templates(named.unionByName(known), depth)
+    leaves = grow_templates(named.unionByName(known))
     judged = leaves.select("host", "segments", "template").join(judge_templates(leaves, least_purity=least_purity), ["host", "template"])
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("rejected"), "block").otherwise("allow")
     return (
-        rows.withColumn("segments", general_segments(F.col("path"), depth))
+        rows.withColumn("segments", general_segments(F.col("path")))
         .join(judged, ["host", "segments"])
         .select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "purity")
     )
