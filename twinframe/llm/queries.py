@@ -1,4 +1,4 @@
-"""The queries op1 to op10: each applies its operator to a whole table and derives the asked columns."""
+"""The queries op1 to op13: each applies its operator to a whole table and derives the asked columns."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import exact, langid, lines, mixing, packing, quality, sharding, simhash, urls, vectors
+from twinframe.llm import exact, langid, lines, merkle, mixing, packing, quality, sharding, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,3 +133,72 @@ def op10_lines(spark: SparkSession, sf: str) -> DataFrame:
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("kept_crc32"),
     )
+
+
+#: Fixed value: the reversed polynomial of CRC-32, here in decimal.
+_CRC32_SQL = """
+xor(list_reduce([4294967295::BIGINT] || list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT),
+  lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda d, k: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END)), 4294967295)
+"""
+_LEAF_SQL = "sha256(" + " || ".join(
+    f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "{0}", "text")
+) + ")"
+
+
+@query(
+    "op12_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '-') AS tree, {_LEAF_SQL.format("n_chars")} AS leaf,
+             CASE WHEN {_CRC32_SQL.format("doc_id::VARCHAR")} % 7 = 0 THEN {_LEAF_SQL.format("(n_chars + 1)")}
+                  ELSE {_LEAF_SQL.format("n_chars")} END AS claimed
+      FROM documents
+    ), placed AS (
+      SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY tree) AS n
+      FROM leaves
+    ), nodes AS (
+      SELECT tree, 0 AS level, i, n, leaf AS h FROM placed
+      UNION ALL
+      SELECT tree, level + 1, i // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i))
+      FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2
+    ), subroots AS (
+      SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+    ), tops AS (
+      SELECT 0 AS level, i, n, h FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 2, max((n + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY level, i // 2
+    ), walk AS (
+      SELECT row, tree, 0 AS level, i, n, claimed AS h, '' AS proof FROM placed
+      UNION ALL
+      SELECT w.row, w.tree, w.level + 1, w.i // 2, (w.n + 1) // 2,
+             sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.i % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END), w.proof || coalesce(s.h, '')
+      FROM walk w LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.i = xor(w.i, 1::BIGINT)
+      WHERE w.n > 1
+    ), climb AS (
+      SELECT w.row, 0 AS level, r.i, r.n, w.h, w.proof FROM walk w JOIN subroots r USING (tree) WHERE w.n = 1
+      UNION ALL
+      SELECT w.row, w.level + 1, w.i // 2, (w.n + 1) // 2,
+             sha256(CASE WHEN s.h IS NULL THEN w.h WHEN w.i % 2 = 1 THEN s.h || w.h ELSE w.h || s.h END), w.proof || coalesce(s.h, '')
+      FROM climb w LEFT JOIN tops s ON s.level = w.level AND s.i = xor(w.i, 1::BIGINT)
+      WHERE w.n > 1
+    )
+    SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = t.h AS verified
+    FROM placed p JOIN subroots r USING (tree) JOIN climb c ON c.row = p.row AND c.n = 1 CROSS JOIN (SELECT h FROM tops WHERE n = 1) t
+    """,
+)
+def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """The claimed leaf is that of a row whose n_chars is one more where 7 divides the checksum of its id."""
+    docs = table(spark, sf, "documents")
+    digest = merkle.leaf("doc_id", "source", "lang", "n_chars", "text")
+    odd = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.lit(False))
+    claimed = F.when(odd, merkle.leaf("doc_id", "source", "lang", F.col("n_chars") + 1, "text")).otherwise(digest)
+    carry = {"doc_id": F.col("doc_id"), "claimed": claimed}
+    found = merkle.manifest(docs, digest, F.col("lang"), ["doc_id"], carry)
+    folded = found.select(
+        "doc_id", "leaf", "subroot", "root",
+        merkle.proof_digest(F.col("witness")).alias("proof_sha256"),
+        merkle.fold(F.col("claimed"), F.col("witness")).alias("folded_root"),
+    )
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
