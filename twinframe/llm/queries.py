@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import exact, langid, lines, merkle, mixing, packing, quality, sharding, simhash, urls, vectors
+from twinframe.llm import codes, exact, langid, lines, merkle, mixing, packing, quality, sharding, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -202,3 +202,60 @@ def op12_manifest(spark: SparkSession, sf: str) -> DataFrame:
         merkle.fold(F.col("claimed"), F.col("witness")).alias("folded_root"),
     )
     return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """The same by comparing every part with every entry: one table of parts, one codebook a round."""
+    nearest = """
+    a{n} AS MATERIALIZED (
+      SELECT p.vec, p.part, min((d * {entries} + e)::HUGEINT) AS best
+      FROM (SELECT p.vec, p.part, b.e, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+            FROM parts p JOIN b{n} b ON b.part = p.part) p
+      GROUP BY ALL
+    )"""
+    moved = """
+    s{n} AS MATERIALIZED (
+      SELECT part, e, list(m ORDER BY place) AS v
+      FROM (SELECT a.part, (a.best % {entries})::BIGINT AS e, k.place, floor(sum(p.v[k.place])::DOUBLE / count(*))::BIGINT AS m
+            FROM a{n} a JOIN parts p USING (vec, part) CROSS JOIN (SELECT unnest(range(1, (SELECT max(len(v)) FROM parts) + 1)) AS place) k
+            GROUP BY ALL)
+      GROUP BY part, e
+    ),
+    b{m} AS MATERIALIZED (SELECT b.part, b.e, coalesce(s.v, b.v) AS v FROM b{n} b LEFT JOIN s{n} s USING (part, e))"""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(nearest.format(n=n, entries=entries))
+        if n < rounds:
+            steps.append(moved.format(n=n, m=n + 1, entries=entries))
+    return f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), parts AS MATERIALIZED (
+      SELECT vec, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v
+      FROM kept CROSS JOIN (SELECT unnest(range({parts})) AS part)
+    ), b0 AS MATERIALIZED (SELECT part, vec AS e, v FROM parts WHERE vec < {entries}),
+    {",".join(steps)},
+    coded AS (
+      SELECT vec, string_agg(printf('%02x', (best % {entries})::BIGINT), '' ORDER BY part) AS code, sum(best // {entries})::BIGINT AS error
+      FROM a{rounds} GROUP BY vec
+    ), hashed AS (
+      SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY part, e, place)) AS h
+      FROM (SELECT part, e, unnest(v) AS x, unnest(range(len(v))) AS place FROM b{rounds})
+    )
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+    FROM kept JOIN coded USING (vec) CROSS JOIN hashed
+    """
+
+
+@query("op11_codes", _codes_sql(parts=16, entries=64, rounds=2))
+def op11_codes(spark: SparkSession, sf: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2, scale=256, carry=["label"])
+    return codes.summed_over(found, "label", "error", "label_error").select(
+        F.col("id").alias("vec_id"),
+        codes.code(F.col("balls")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(codes.fingerprint(books)).alias("codebooks_sha256"),
+    )
