@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinframe.llm import codes, exact, langid, lines, merkle, mixing, packing, quality, sharding, simhash, urls, vectors
+from twinframe.llm import bpe, codes, exact, langid, lines, merkle, mixing, packing, quality, sharding, simhash, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -259,3 +259,14 @@ def op11_codes(spark: SparkSession, sf: str) -> DataFrame:
         "label_error",
         F.lit(codes.fingerprint(books)).alias("codebooks_sha256"),
     )
+
+
+@query("op13_bpe")
+def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.decode(bpe.encode(docs)).select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("tokens", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
