@@ -96,6 +96,8 @@ def test_query_against_the_library(spark, tmp_path):
         ids = np.array(tokenizer().encode_ordinary(r[1] or ""), dtype="<u4")
         expected.append((str(r[0]), len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()))
     assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found) == sorted(expected)
+    again = bpe.decode(bpe.encode(docs)).collect()
+    assert sorted(bytes(r.decoded) for r in again) == sorted((r[1] or "").encode() for r in rows)
     cases.table(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert QUERIES["op13_bpe"](spark, f"{tmp_path}/none").count() == 0
 

@@ -19,17 +19,17 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Characters and tokens worked on at a time, which bounds what DuckDB holds.
-CHARS = 1 << 20
-TOKENS = 1 << 18
+#: Bytes of text, or characters of a longer one, and tokens worked on at a time: what numpy and DuckDB hold.
+CHARS = 1 << 19
+TOKENS = 1 << 17
 #: Words of one recursive query, and the longest word, in bytes, of which one pair is contracted a step.
 WORDS = 20_000
 SHORT = 64
 #: Rows and steps of a query over longer words; what is unfinished then starts the next query.
-LONG_ROWS = 1 << 22
+LONG_ROWS = 1 << 21
 STEPS = 64
 #: Words whose tokens a worker remembers; then it starts anew. Affects time only.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # The pattern whose matches `cut_words` finds, and the endings that follow an apostrophe.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -160,7 +160,7 @@ class Coder:
         early = np.zeros(len(self.known), dtype=bool)
         early[a[a > rank]] = True
         early[b[b > rank]] = True
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "autoinstall_known_extensions": False})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": "", "autoinstall_known_extensions": False})
         self._table("merges", {"a": a, "b": b, "rank": rank, "together": ~early[rank]})
         self._table("vocabulary", {"id": np.array(list(self.ranks.values()), dtype=np.int32), "bytes": pa.array(list(self.ranks), pa.binary())})
         self._forget()
@@ -247,14 +247,16 @@ class Coder:
         ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
         columns = {"part": np.repeat(np.arange(len(parts), dtype=np.int32), sizes), "pos": np.arange(len(ids), dtype=np.int32), "id": ids}
         found = self._query(_DECODE_SQL, "tokens", columns)
-        out = [b""] * len(parts)
-        for lists, group in zip(found["bytes"].chunks, np.split(found["part"].to_numpy(), np.cumsum([len(c) for c in found["bytes"].chunks])[:-1])):
-            flat = lists.flatten()
-            data = b"".join(flat.to_pylist())
-            ends = np.cumsum(pa.compute.binary_length(flat).to_numpy())
-            bounds = np.concatenate([[0], ends])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-            for k, part in enumerate(group):
-                out[part] = data[bounds[k] : bounds[k + 1]]
+        out, at = [b""] * len(parts), 0
+        part = found["part"].to_numpy()
+        for lists in found["bytes"].chunks:
+            flat = lists.flatten().cast(pa.binary())
+            # The bytes of all tokens lie one after the other in the order of the aggregation.
+            ends = np.frombuffer(flat.buffers()[1], dtype=np.int32)[flat.offset : flat.offset + len(flat) + 1]
+            bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            for k, row in enumerate(part[at : at + len(lists)].tolist()):
+                out[row] = flat.buffers()[2].slice(bounds[k], bounds[k + 1] - bounds[k]).to_pybytes()
+            at += len(lists)
         return out
 
 
@@ -278,37 +280,64 @@ def slices(text: str, size: int = CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _spans(sizes: list[int], most: int) -> Iterator[slice]:
+    """Consecutive items of at most `most` in all, or a larger one alone."""
+    at = 0
+    while at < len(sizes):
+        end, total = at + 1, sizes[at]
+        while end < len(sizes) and total + sizes[end] <= most:
+            total += sizes[end]
+            end += 1
+        yield slice(at, end)
+        at = end
+
+
+def _encoded(own: Coder, texts: list[str]) -> list[np.ndarray]:
+    if len(texts) == 1:
+        return [np.concatenate([own.encode([s])[0] for s in slices(texts[0])])]
+    return own.encode(texts)
+
+
+def _decoded(own: Coder, rows: list[np.ndarray | None]) -> list[bytes | None]:
+    good = [i is not None and bool((i < len(own.known)).all() and own.known[i].all()) for i in rows]
+    parts = [(row, i[at : at + TOKENS].astype(np.int32)) for row, i in enumerate(rows) if good[row] for at in range(0, len(i), TOKENS)]
+    out: list[list[bytes]] = [[] for _ in rows]
+    for span in _spans([len(p) for _, p in parts], TOKENS):
+        for (row, _), data in zip(parts[span], own.decode([p for _, p in parts[span]])):
+            out[row].append(data)
+    return [b"".join(o) if g else None for o, g in zip(out, good)]
+
+
+def encode(
+    docs: DataFrame, path: str | None = None, text_col: str = "text", id_col: str = "doc_id", with_decoded: bool = False
+) -> DataFrame:
     """(id, n_tokens, tokens) of every row; `tokens` holds the ids as little-endian unsigned 32-bit integers.
 
     Null texts count as empty and have no tokens. Every match of PATTERN is merged for itself, by
     the ranks of the file at `path`, without special tokens; their strings are ordinary text.
     Repeated rows and null ids come back as they are. A text of any length is read in slices cut
     where matches end, and no slice is longer than CHARS but for a run without such a place.
+    `with_decoded` adds what `decode` gives for the tokens, without a second pass of Python workers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path or ranks_path())
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or "") <= CHARS):
-                    size += len(texts[end] or "")
-                    end += 1
-                if end == at + 1:
-                    found = [np.concatenate([own.encode([s])[0] for s in slices(texts[at] or "")])]
-                else:
-                    found = own.encode([t or "" for t in texts[at:end]])
-                counts = pa.array([len(f) for f in found], pa.int64())
-                tokens = pa.array([f.astype("<u4").tobytes() for f in found], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(at, end - at), counts, tokens], names=["id", "n_tokens", "tokens"])
-                at = end
-
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        run, f"id {dict(docs.dtypes)[id_col]}, n_tokens long, tokens binary"
-    )
+            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_pylist()
+            for span in _spans(sizes, CHARS):
+                rows = batch.slice(span.start, span.stop - span.start)
+                found = _encoded(own, [t or "" for t in rows.column(1).to_pylist()])
+                columns = {
+                    "id": rows.column(0),
+                    "n_tokens": pa.array([len(f) for f in found], pa.int64()),
+                    "tokens": pa.array([f.astype("<u4").tobytes() for f in found], pa.binary()),
+                }
+                if with_decoded:
+                    columns["decoded"] = pa.array(_decoded(own, found), pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    schema = f"id {dict(docs.dtypes)[id_col]}, n_tokens long, tokens binary" + (", decoded binary" if with_decoded else "")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -322,19 +351,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
         own = coder(path or ranks_path())
         for batch in batches:
             ids = [None if t is None else np.frombuffer(t, dtype="<u4").astype(np.int64) for t in batch["tokens"].to_pylist()]
-            good = [i is not None and bool((i < len(own.known)).all() and own.known[i].all()) for i in ids]
-            parts = [(row, i[at : at + TOKENS].astype(np.int32)) for row, i in enumerate(ids) if good[row] for at in range(0, len(i), TOKENS)]
-            out = [[] for _ in ids]
-            at = 0
-            while at < len(parts):
-                end, size = at, 0
-                while end < len(parts) and (end == at or size + len(parts[end][1]) <= TOKENS):
-                    size += len(parts[end][1])
-                    end += 1
-                for (row, _), data in zip(parts[at:end], own.decode([p for _, p in parts[at:end]])):
-                    out[row].append(data)
-                at = end
-            decoded = pa.array([b"".join(o) if g else None for o, g in zip(out, good)], pa.binary())
+            decoded = pa.array(_decoded(own, ids), pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in coded.dtypes) + ", decoded binary")

@@ -264,7 +264,7 @@ def op11_codes(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_bpe")
 def op13_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return bpe.decode(bpe.encode(docs)).select(
+    return bpe.encode(docs, with_decoded=True).select(
         F.col("id").alias("doc_id"),
         "n_tokens",
         F.sha2("tokens", 256).alias("ids_sha256"),
