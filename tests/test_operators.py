@@ -1,5 +1,7 @@
 import math
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,6 +238,48 @@ def test_transport_interval_holds_the_sorted_distance(spark, resolution):
     assert got["upper"] - got["lower"] < (0.1 if resolution > 400 else 1.0) * exact
 
 
+@pytest.mark.parametrize("kind", ["gower", "l1", "euclidean", "sqeuclidean"])
+def test_sparse_plan_and_scan_enclose_the_best_matching(kind):
+    """Against every matching of seven rows; scans and solutions alternate as the solver does."""
+    rng = np.random.default_rng(5)
+    for near in (1, 3):
+        x = np.column_stack([rng.normal(size=(7, 2)), rng.integers(0, 3, 7)])
+        y = np.column_stack([rng.normal(size=(7, 2)), rng.integers(0, 3, 7)])
+        cost, mass = tr.cost_block(x, y, 2, kind), np.full(7, 1 / 7)
+        exact = min(cost[range(7), p].mean() for p in itertools.permutations(range(7)))
+        f, g = tr.coarse_duals((x, mass), (y, mass), 2, kind)
+        i, j, low, high, eps = np.zeros(0, int), np.zeros(0, int), 0.0, np.inf, 0.0
+        for _ in range(4):
+            reduced = cost - g
+            low = max(low, float(reduced.min(axis=1) @ mass + g @ mass))
+            i = np.concatenate([i, np.repeat(np.arange(7), near), np.argsort(cost - f[:, None], axis=0)[:near].T.ravel()])
+            j = np.concatenate([j, np.argsort(reduced, axis=1)[:, :near].ravel(), np.repeat(np.arange(7), near)])
+            f, g, upper, eps = tr.sparse_plan((x, mass), (y, mass), i, j, f, g, 2, kind, 8 * eps, 0.004)
+            high = min(high, upper)
+        assert low - 1e-9 <= exact <= high + 1e-9
+        assert high - low < 0.05 * exact
+
+
+def test_plan_along_the_order_keeps_the_margins():
+    rng = np.random.default_rng(2)
+    a, b = rng.random(9), rng.random(5)
+    a, b = a / a.sum(), b / b.sum()
+    i, j, mass = tr.in_order(a, b)
+    assert np.allclose(np.bincount(i, mass, 9), a) and np.allclose(np.bincount(j, mass, 5), b)
+
+
+@pytest.mark.parametrize("kind, exact", [("sqeuclidean", 0.25), ("euclidean", 0.5), ("l1", 0.5)])
+def test_transport_of_a_near_twin_is_narrow(spark, kind, exact):
+    """The answer is far below the largest cost; a twin that is the table itself costs nothing."""
+    rows = [(i, float(37 * i % 1009), float(i * i % 97)) for i in range(300)]
+    real = spark.createDataFrame(rows, "row_id long, x double, y double")
+    moved = real.withColumn("x", F.col("x") + 0.5)
+    got = tr.wasserstein_numeric(real, moved, ["x", "y"], kind).first()
+    assert got["lower"] - 1e-6 <= exact <= got["upper"] + 1e-6 and got["upper"] - got["lower"] < 0.05 * exact
+    same = tr.wasserstein_numeric(real, real, ["x", "y"], kind).first()
+    assert same["lower"] == 0.0 and same["upper"] < 1e-9
+
+
 def test_transport_bounds_enclose_each_other(spark, sf):
     real, syn = fx.pair(fx.parts(spark, sf))
     tight = tr.wasserstein_gower(real, syn, fx.PART_NUM, fx.PART_CAT).first()

@@ -300,6 +300,32 @@ def _(spark, sf):
     return cal_fidelity(*halves(spark, sf), NUM, CAT, sample=TUNE_SAMPLE)
 
 
+_FLOOR_SQL = (
+    f"{PAIR}, num AS ({sql_wasserstein(NUM, digits=9)}), scaled AS (SELECT avg(wasserstein / CASE \"column\" "
+    + " ".join(f"WHEN '{c}' THEN (SELECT max({c}) - min({c}) FROM order_facts)" for c in NUM)
+    + f" END) AS v FROM num), prop AS ({sql_proportions(CAT, {'real': 'real', 'syn': 'syn'})}), cells AS (SELECT \"column\", "
+    "value, sum(CASE WHEN dataset = 'real' THEN proportion ELSE -proportion END) AS gap FROM prop GROUP BY 1, 2) SELECT "
+    f"round((SELECT v FROM scaled) * {len(NUM)} / 5 + (SELECT sum(abs(gap)) / 2 FROM cells) / 5, 4) AS floor"
+)
+
+
+@query("G5_whole_tables", f"{_FLOOR_SQL}, true AS above_floor, true AS below_sorted, true AS narrow")
+def _(spark, sf):
+    """The score of all rows, between the bound of the columns and the cost of the sorted matching."""
+    from twinframe.operators.transport import cal_fidelity, sorted_coupling
+
+    real, syn = halves(spark, sf)
+    floor = ds.gower_by_column(real, syn, NUM, CAT).agg(F.avg("lower_transport").alias("floor"))
+    above = sorted_coupling(real, syn, NUM, CAT).select(F.col("upper").alias("sorted"))
+    score = F.broadcast(cal_fidelity(real, syn, NUM, CAT).select("lower", "upper"))  # one row, as the others
+    return score.join(F.broadcast(floor)).join(F.broadcast(above)).select(
+        F.round("floor", 4).alias("floor"),
+        (F.col("lower") >= F.col("floor") - 1e-9).alias("above_floor"),
+        (F.col("upper") <= F.col("sorted") + 1e-9).alias("below_sorted"),
+        (F.col("upper") - F.col("lower") <= 0.05 * F.col("upper")).alias("narrow"),
+    )
+
+
 SHIFT = 7.0
 
 
