@@ -143,6 +143,17 @@ def test_vectors_against_brute_force(spark):
     assert sorted(tuple(r) for r in found) == brute_vectors(rows)
 
 
+def test_vectors_of_one_id_and_of_none(spark):
+    """Links belong to vectors, not to ids; a component is named by its smallest id, null if it has none."""
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 0.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (None, near(c)), (9, [0.0, 0.0, 0.0, 1.0]), (None, None), (7, near(near(a)))]
+    found = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    expected = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (7, 2, 1, False), (9, 0, 9, True)]
+    expected += [(None, 1, None, True), (None, 1, None, True), (None, 0, None, True)]
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
+
+
 def test_bounds_never_miss_a_pair():
     rng = np.random.default_rng(5)
     x = vectors.unit_rows(rng.normal(size=(300, 8)))

@@ -47,8 +47,11 @@ def test_segments_meet_for_every_near_pair(spark):
     assert all(r.meet and r.near for r in found.collect())
 
 
-def brute(rows, most=2, least=20):
-    """(id, text) -> (text left, lines dropped), by comparing all lines with all."""
+def brute(rows, most=2):
+    """(id, text) -> (text left, lines dropped), by comparing all lines with all.
+
+    Every line but blank ones takes part; lines under 9 characters are the same only if equal.
+    """
     places = []
     for doc, text in rows:
         if text is None:
@@ -57,14 +60,14 @@ def brute(rows, most=2, least=20):
         mark -= (mark >> 63) << 64
         for n, line in enumerate(text.split("\n")):
             line = line.translate(str.maketrans("\t\r\x0b\x0c", "    ")).strip(" ")
-            if len(line) >= least:
+            if line:
                 places.append(((doc is None, doc or 0, mark, n), line))
     names = sorted({line for _, line in places})
     links = [
         (i, j)
         for i in range(len(names))
         for j in range(i)
-        if abs(len(names[i]) - len(names[j])) <= most and len(names[i]) < 500 and cases.edit_distance(names[i], names[j]) <= most
+        if min(len(names[i]), len(names[j])) >= 9 and abs(len(names[i]) - len(names[j])) <= most and len(names[i]) < 500 and cases.edit_distance(names[i], names[j]) <= most
     ]
     root = dict(zip(names, cases.roots(len(names), links)))
     first = {}
@@ -98,10 +101,18 @@ def test_lines_against_brute_force(spark):
     assert sorted((str(r.doc_id), str(r.text), r.line_dropped) for r in found.collect()) == brute([r[:2] for r in rows])
 
 
+def test_a_line_in_every_document(spark):
+    """Many places of one line, met in several tasks, and near copies of it."""
+    rows = [(i, f"the line that stands everywhere\nown line {i * 7919} of this one\n" + ("the line that stands everywherf" if i % 9 == 0 else "ok"), "en", "s", 0) for i in range(120)]
+    found = lines.deduplicate(cases.table(spark, rows).repartition(7))
+    assert sorted((str(r.doc_id), r.text, r.line_dropped) for r in found.collect()) == brute([r[:2] for r in rows])
+
+
 def test_no_lines(spark):
     assert lines.deduplicate(cases.table(spark, [])).count() == 0
     short = cases.table(spark, [(1, "same\nsame\n", "en", "s", 0), (2, "same", "en", "s", 0)])
-    assert sorted(r.text for r in lines.deduplicate(short).collect()) == ["same", "same\nsame\n"]
+    assert sorted(r.text for r in lines.deduplicate(short).collect()) == ["", "same\n"]
+    assert sorted(r.text for r in lines.deduplicate(short, least_chars=5).collect()) == ["same", "same\nsame\n"]
 
 
 def test_short_lines_take_part(spark):

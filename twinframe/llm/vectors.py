@@ -124,8 +124,9 @@ def near_duplicates(
     Vectors link when their cosine is at least `least_cosine` (above 0) in double precision.
     Vectors of different lengths never link, nor do vectors that are null, empty, zero or hold a
     null or non-finite component: they get n_links 0 and themselves as component. Equal vectors
-    shrink to one first and count as often as they occur; repeated ids are separate vectors. Ids
-    are not null.
+    shrink to one first and count as often as they occur; repeated ids are separate vectors. Null
+    ids link like others; a component whose ids are all null is named null, and its rows are kept,
+    as are rows of a null id among vectors that link with nothing.
 
     Every pair of tiles is one task of bounded size, so the work is quadratic in the number of
     different vectors, as the method is; what a task returns is linear in its tiles.
@@ -135,7 +136,12 @@ def near_duplicates(
     usable = F.coalesce((F.size("embedding") > 0) & finite & F.exists("embedding", lambda v: v != 0), F.lit(False))
     marked = rows.withColumn("usable", usable)
     classes = stash(
-        marked.where("usable").groupBy("embedding").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes"
+        # Every class of equal vectors is a node of its own, whatever ids it shares with others.
+        marked.where("usable")
+        .groupBy("embedding")
+        .agg(F.min("id").alias("least"), F.count("*").alias("n"))
+        .withColumn("id", F.monotonically_increasing_id()),
+        "classes",
     )
     tiles = max(1, math.ceil(classes.count() / tile))
     dealt = classes.select(
@@ -150,16 +156,15 @@ def near_duplicates(
     )
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(found.where("id != other").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    known = (
-        classes.select("embedding", "id", "n")
-        .join(counts, "id", "left")
-        .join(roots.select(F.col("node").alias("id"), "root"), "id", "left")
-        .select(
-            "embedding",
-            (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-            F.coalesce("root", "id").alias("component_id"),
-        )
+    nodes = classes.select("embedding", "id", "n", "least").join(counts, "id", "left").join(
+        roots.select(F.col("node").alias("id"), "root"), "id", "left"
+    )
+    nodes = stash(nodes.withColumn("root", F.coalesce("root", "id")), "nodes")
+    # The smallest id of a component; a minimum leaves nulls out.
+    names = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = nodes.join(names, "root").select(
+        "embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )
     linked = marked.where("usable").join(known, "embedding").select("id", "n_links", "component_id")
     alone = marked.where(~F.col("usable")).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("id") == F.col("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
