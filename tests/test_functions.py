@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 from twinframe.functions.hashing import fast_normal, rnd
 from twinframe.functions.special import add_norm_ppf, chi2_sf, gamma_cdf, norm_cdf
+from twinframe.operators.rows import drawn_position
 
 
 def test_rnd_is_the_md5_prefix(spark):
     row = spark.range(7, 8).select(rnd(42, F.col("id")).alias("r")).first()
-    assert row["r"] == int(hashlib.md5(b"42|7").hexdigest()[:8], 16) / 2**32
+    assert row["r"] == int(hashlib.md5(b"42|7").hexdigest()[:13], 16) / 2**52
+
+
+def test_draws_reach_every_position_of_a_large_table(spark):
+    """Positions alone, no such table: 32 bits would only reach multiples of 256 of 2^40."""
+    u = rnd("large", F.col("id"))
+    rows = spark.range(4000).select(drawn_position(u, 2**40).alias("p"), u.alias("u")).collect()
+    assert len({r["p"] for r in rows}) > 3990 and {r["p"] % 256 for r in rows} >= set(range(200))
+    assert all(r["p"] == int(r["u"] * 2**40) for r in rows)
 
 
 def test_rnd_takes_a_column_as_seed(spark):

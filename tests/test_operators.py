@@ -20,7 +20,7 @@ from twinframe.operators import profile as pf
 from twinframe.operators import rows as rw
 from twinframe.operators import search as se
 from twinframe.operators import transport as tr
-from twinframe.operators.impute import impute
+from twinframe.operators.impute import donors, impute
 from twinframe.operators.neighbours import nearest
 
 
@@ -300,6 +300,34 @@ def test_imputation_fills_gaps_only(spark, sf):
             assert r[c] is None or done[r["row_id"]][c] == r[c]
 
 
+def test_donors_against_brute_force(spark):
+    """Each gap gets the value of one of the five nearest predictions; ties and missing sides included."""
+    rng = np.random.default_rng(8)
+    rows = [(i, None if i % 4 == 0 else float(i), float(rng.integers(0, 40)) + (0.5 if i % 4 == 0 else 0.0)) for i in range(200)]
+    rows += [(900, None, -1e9), (901, None, 1e9)]
+    found = {r["tid"]: r["donated"] for r in donors(spark.createDataFrame(rows, "tid long, value double, p double").repartition(5), "s").collect()}
+    known = [(v, p) for _, v, p in rows if v is not None]
+    assert set(found) == {t for t, v, _ in rows if v is None}
+    for t, v, p in rows:
+        if v is None:
+            reach = sorted(abs(p - q) for _, q in known)[4]
+            assert any(w == found[t] and abs(p - q) <= reach for w, q in known)
+    nothing = spark.createDataFrame([(1, None, 0.0)], "tid long, value double, p double")
+    assert donors(nothing, "s").count() == 0
+
+
+def test_imputation_keeps_the_correlation(spark):
+    """Filled cells are observed values and follow the other columns as the observed cells do."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=800)
+    y = 2 * x + rng.normal(scale=0.5, size=800)
+    rows = [(i, float(x[i]), None if i % 5 == 0 else float(y[i])) for i in range(800)]
+    done = impute(spark.createDataFrame(rows, "row_id long, x double, y double"), ["x", "y"], [], num_iter=1).toPandas()
+    assert set(done["y"]) <= {r[2] for r in rows if r[2] is not None}
+    gaps = done[done["row_id"] % 5 == 0]
+    assert abs(np.corrcoef(gaps["x"], gaps["y"])[0, 1] - np.corrcoef(x, y)[0, 1]) < 0.05
+
+
 def planted(spark, n=600):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(n, 3))

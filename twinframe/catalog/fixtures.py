@@ -71,7 +71,7 @@ def with_unseen(df: DataFrame, column: str, value: str) -> DataFrame:
 
 def sql_rnd(seed: str, *ids: str) -> str:
     text = "'" + seed + "'" + "".join(f" || '|' || CAST({i} AS VARCHAR)" for i in ids)
-    return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE))"
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE))"
 
 
 ORDER_FACTS = (

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_52 = 4503599627370496.0
 
 
 def rnd(seed, *ids: Column) -> Column:
-    """Uniform in [0, 1): the first 32 bits of md5('seed|id|...')."""
+    """Uniform in [0, 1): the first 52 bits of md5('seed|id|...'), all of which a double holds."""
     first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
     parts = [first, *[i.cast("string") for i in ids]]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") / F.lit(TWO_32)
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13), 16, 10).cast("double") / F.lit(TWO_52)
 
 
 def fast_uniform(seed: int, *ids: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -109,6 +109,11 @@ def align(left: DataFrame, right: DataFrame, row_id: str = "row_id") -> DataFram
     return x.join(y, "position")
 
 
+def drawn_position(u: Column, n: int) -> Column:
+    """The position from 0 to n - 1 that a uniform draw falls on; draws of 52 bits reach every one of 2^52."""
+    return F.least(F.floor(u * n), F.lit(n - 1)).cast("long")
+
+
 def sample_with_replacement(df: DataFrame, k: int, seed, row_id: str = "row_id", draws: int = 1) -> DataFrame:
     """Exactly k rows per draw, each a hashed position of the table.
 
@@ -123,7 +128,7 @@ def sample_with_replacement(df: DataFrame, k: int, seed, row_id: str = "row_id",
     )
     u = rnd(seed, F.col("draw"), F.col("slot"))
     hits = (
-        slots.withColumn("_position", F.least(F.floor(u * n), F.lit(n - 1)).cast("long"))
+        slots.withColumn("_position", drawn_position(u, n))
         .groupBy("_position")
         .agg(F.collect_list(F.struct("draw", "slot")).alias("_slots"))
     )
