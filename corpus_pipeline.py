@@ -39,17 +39,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, with the shingles and distance of op3."""
+    """One document of each group of near-duplicates, with the shingles and distance of op3.
+
+    Null and empty texts and those without a word share the fingerprint zero and are one group. The
+    row with the smallest id stays, and of rows that repeat it only one.
+    """
     return simhash.keep_one(docs, simhash.SHINGLE_WORDS, simhash.MAX_BITS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of op5: documents as often as it takes them, the last copy cut to the words taken."""
+    """The mix of op5: documents as often as it takes them, the last copy cut to the words taken.
+
+    Documents without words are taken no times and leave here; repeated rows are mixed one by one;
+    null sources are one source. Equal quotients go to the source or shard with the smaller number.
+    """
     return recounted(mixing.draw(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths, each a sequence, with their token ids."""
+    """Pieces of power-of-two lengths, each a sequence, with their token ids.
+
+    A null or empty text gives the end id alone; repeated rows are packed one by one; the order of
+    the input numbers the sequences, so ties need none.
+    """
     return packing.pack(docs, with_ids=True).withColumnRenamed("id", "doc_id")
 
 
