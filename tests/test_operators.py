@@ -14,6 +14,7 @@ from twinframe.operators import dependence as dp
 from twinframe.operators import distance as ds
 from twinframe.operators import encode as en
 from twinframe.operators import models as md
+from twinframe.operators import neighbours as nb
 from twinframe.operators import ordering as od
 from twinframe.operators import privacy as pv
 from twinframe.operators import profile as pf
@@ -192,6 +193,44 @@ def test_nearest_against_all_pairs(spark, n_num, n_cat):
     assert len(got) == 600
 
 
+@pytest.mark.parametrize("n_num,n_cat", [(2, 0), (1, 2), (0, 5)])
+def test_nearest_through_a_high_tree(spark, monkeypatch, n_num, n_cat):
+    for name, value in {"LEAF_ROWS": 4, "FAN": 3, "MAX_TOPS": 3, "SUMMARY_ROWS": 2}.items():
+        monkeypatch.setattr(nb, name, value)
+    rng = np.random.default_rng(7)
+    table = lambda n: np.hstack([rng.normal(size=(n, n_num)) ** 3, rng.integers(0, 9, (n, n_cat))]).astype(float)
+    x, sets = table(150), [table(700), table(40), table(1)]
+    sets[0][:200, :n_num] = sets[0][0, :n_num]  # a hot packing key
+    targets = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, vec array<double>")
+    rows = [(s, v.tolist()) for s, part in enumerate(sets) for v in part]
+    candidates = spark.createDataFrame(rows, "syn_id long, vec array<double>")
+    got = {(r["row_id"], r["syn_id"]): r["distance"] for r in nearest(targets, candidates, n_num, n_cat, ["syn_id"]).collect()}
+    assert len(got) == 450
+    for s, part in enumerate(sets):
+        d = ((x[:, None, :n_num] - part[None, :, :n_num]) ** 2).sum(-1)
+        d = d + 2.0 * (x[:, None, n_num:] != part[None, :, n_num:]).sum(-1)
+        assert all(math.isclose(got[(i, s)], best, abs_tol=1e-9) for i, best in enumerate(np.sqrt(d.min(axis=1))))
+
+
+def test_leaves_and_sent_boxes_do_not_grow(spark, monkeypatch):
+    monkeypatch.setattr(nb, "MAX_TOPS", 16)
+    heights = []
+    for n in (1_000, 10_000, 100_000):
+        rows = spark.range(n).selectExpr("array(rand(3), rand(5)) AS vec", "0 AS only_set")
+        tree = nb.BoxTree(rows, 2, 0, ["only_set"])
+        sizes = tree.blocks.agg(F.max(F.size("block")), F.sum(F.size("block"))).first()
+        assert sizes[0] == 2 * nb.LEAF_ROWS and sizes[1] == 2 * n
+        assert sum(len(nodes) for nodes, *_ in tree.tops) <= 17
+        heights.append(len(tree.inner))
+    assert heights == [0, 1, 2]
+
+
+def test_nearest_of_no_rows(spark):
+    frame = lambda ids: spark.createDataFrame([(i, [float(i), 1.0]) for i in ids], "row_id long, vec array<double>")
+    assert nearest(frame([1, 2]), frame([]).select("vec"), 1, 1).isEmpty()
+    assert nearest(frame([]), frame([1]).select("vec"), 1, 1).isEmpty()
+
+
 @pytest.mark.parametrize("shadows", [2, 5, 6])
 def test_memberships_are_balanced(spark, sf, shadows):
     df = fx.parts(spark, sf)

@@ -1,11 +1,13 @@
 """Exact nearest neighbours between two tables, without comparing all pairs.
 
-The candidate rows are packed into leaves of bounded size along an order that keeps similar
-rows together. Every leaf is summarised by its bounding box and a few of its rows; this summary
-is small and broadcast. A target row is then compared only with the leaves whose box is closer
-than the best summary row, which cannot miss the nearest one. Targets travel to leaves in
-blocks, so no row per pair is ever produced and a leaf that many targets need receives many
-bounded blocks rather than one large group.
+The candidate rows are packed into leaves of a fixed number of rows along an order that keeps
+similar rows together. Runs of leaves form nodes, runs of nodes form larger nodes, each with its
+bounding box, until few enough are left to send to every task; all boxes below them stay in
+tables. A target goes down by joins, first to the closest node at each level, which gives it an
+upper bound, then to every node whose box is closer than that bound, which cannot miss the nearest
+row. Targets travel in blocks, so no row per pair is ever produced and a node that many targets
+need receives many bounded blocks rather than one large group. With more candidates the tree gets
+higher; neither the leaves nor what is sent grow.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ from pyspark.sql import Window as W
 
 from twinframe.operators.encode import JointEncoder
 from twinframe.operators.ordering import count_below, running_totals
-from twinframe.session import cut_lineage
+from twinframe.session import written
 
-MAX_LEAVES = 20_000  # over all candidate sets; bounds the broadcast summary
-MIN_LEAF = 64
-SUMMARY_ROWS = 12  # rows of a leaf kept in its summary
+LEAF_ROWS = 64
+FAN = 64  # children of a node
+MAX_TOPS = 20_000  # full nodes sent to the tasks, over all candidate sets; each set may add a part-filled one
+SUMMARY_ROWS = 12  # rows below a node that are sent with its box
 PROBES = 3  # closest boxes whose summary rows give the first upper bound
 BINS = 32  # quantile bins per number in the packing order
+FINE_BITS = 12  # over all numbers: linear places within the bins, which split a key of many rows
 TARGET_BLOCK = 1024
 
 
@@ -90,126 +94,247 @@ def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int) -> Dat
     return ranked.withColumn("_key", key).drop(*[f"_q{i}" for i in range(n_num)])
 
 
+def with_fine_place(keyed: DataFrame, grids: list[list[float]]) -> DataFrame:
+    """Adds `_fine`: the places of the numbers within their quantile bins, interleaved like the bins.
+
+    Numbers beyond the first FINE_BITS take no part; rows of equal places stay together.
+    """
+    used = [(i, g) for i, g in enumerate(grids) if g][:FINE_BITS]
+    bits = FINE_BITS // len(used) if used else 0
+    places = []
+    for i, grid in used:
+        value, bounds = F.col("vec")[i], F.array(*[F.lit(float(v)) for v in grid])
+        at = count_below(bounds, value, BINS)
+        low, high = F.get(bounds, at - 1), F.get(bounds, at)
+        # The outer bins have one bound: the distance to it, saturating at the typical width of a bin.
+        width = F.lit(max((grid[-1] - grid[0]) / BINS, 1e-300))
+        share = (
+            F.when(low.isNull(), width / (high - value + width))
+            .when(high.isNull(), (value - low) / (value - low + width))
+            .when(high > low, (value - low) / (high - low))
+        )
+        places.append(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * 2**bits), F.lit(2**bits - 1)).cast("int"))
+    fine = F.lit(0)
+    for bit in range(bits - 1, -1, -1):
+        for place in places:
+            fine = fine * 2 + F.shiftright(place, bit).bitwiseAND(F.lit(1))
+    return keyed.withColumn("_fine", fine)
+
+
 def pack_leaves(candidates: DataFrame, grids: list[list[float]], n_cat: int, sets: list[str]) -> DataFrame:
-    """(sets..., leaf, vec): distinct candidate rows in leaves of at most a fixed number of rows."""
+    """(sets..., leaf, slot, vec): distinct candidate rows in leaves of LEAF_ROWS rows, the last of a set fewer.
+
+    A packing key that many rows share is dealt out by their places within the bins, at most
+    2 ** FINE_BITS of them, and only rows of one place are sorted together.
+    """
     distinct = candidates.select(*sets, "vec").distinct()
-    keyed = with_packing_key(distinct, grids, n_cat)
-    counts = keyed.groupBy(*sets, "_key").agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_totals(counts, "_key", ["_n"], groups=sets)
-    total = distinct.count()
-    size = max(MIN_LEAF, math.ceil(total / MAX_LEAVES))
-    inside = F.row_number().over(W.partitionBy(*sets, "_key").orderBy("vec"))
+    keyed = with_fine_place(with_packing_key(distinct, grids, n_cat), grids)
+    pieces = keyed.groupBy(*sets, "_key", "_fine").agg(F.count(F.lit(1)).alias("_n"))
+    keys = pieces.groupBy(*sets, "_key").agg(F.sum("_n").alias("_n"))
+    placed = running_totals(keys, "_key", ["_n"], groups=sets)
+    upto = W.partitionBy(*sets, "_key").orderBy("_fine").rowsBetween(W.unboundedPreceding, W.currentRow)
+    starts = (
+        pieces.withColumn("_upto", F.sum("_n").over(upto))
+        .join(placed.select(*sets, "_key", (F.col("cum__n") - F.col("_n")).alias("_before")), [*sets, "_key"])
+        .select(*sets, "_key", "_fine", (F.col("_before") + F.col("_upto") - F.col("_n")).alias("_start"))
+    )
+    inside = F.row_number().over(W.partitionBy(*sets, "_key", "_fine").orderBy("vec"))
     return (
-        keyed.join(placed.select(*sets, "_key", (F.col("cum__n") - F.col("_n")).alias("_before")), [*sets, "_key"])
-        .withColumn("_rank", F.col("_before") + inside - 1)
-        .select(
-            *sets,
-            F.floor(F.col("_rank") / size).cast("long").alias("leaf"),
-            (F.col("_rank") % size).alias("slot"),
-            "vec",
-            F.lit(size).alias("leaf_size"),
-        )
+        keyed.withColumn("_inside", inside)
+        .join(starts, [*sets, "_key", "_fine"])
+        .withColumn("_rank", F.col("_start") + F.col("_inside") - 1)
+        .select(*sets, F.floor(F.col("_rank") / LEAF_ROWS).alias("leaf"), (F.col("_rank") % LEAF_ROWS).alias("slot"), "vec")
     )
 
 
-def nearest(
-    targets: DataFrame,
-    candidates: DataFrame,
-    n_num: int,
-    n_cat: int,
-    sets: list[str] | None = None,
-    row_id: str = "row_id",
-) -> DataFrame:
-    """(row_id, sets..., distance): distance of every target to its nearest candidate, per set.
+def _box(corners: dict[str, str], dims: int) -> list:
+    """Aggregates for `low` and `high`: the bounds of the boxes, or of the rows, of a group."""
+    return [
+        F.array(*[how(F.col(corners[name])[i]) for i in range(dims)]).alias(name)
+        for name, how in (("low", F.min), ("high", F.max))
+    ]
 
-    Both tables carry `vec`: the numbers, then the category codes. `targets` has the row ids,
-    `candidates` the set columns.
+
+class BoxTree:
+    """Candidate rows of one or more sets as a tree of bounding boxes with constant leaves.
+
+    `blocks` holds the rows by leaf, `inner[k]` the child boxes of each node `k + 1` levels above
+    the leaves; both are tables. `tops` are the boxes of the highest level with a few rows each, the
+    only part that reaches the driver: at most MAX_TOPS and one more for each set.
     """
-    sets = list(sets or [])
-    spark = targets.sparkSession
-    dims = n_num + n_cat
-    own = sets or ["only_set"]
-    source = candidates if sets else candidates.withColumn("only_set", F.lit(0))
-    grids = fit_grids(source, n_num)
-    leaves = pack_leaves(source, grids, n_cat, own)
-    step = F.greatest(F.floor(F.col("leaf_size") / SUMMARY_ROWS), F.lit(1))
-    summary = leaves.groupBy(*own, "leaf").agg(
-        *[F.min(F.col("vec")[i]).alias(f"lo{i}") for i in range(dims)],
-        *[F.max(F.col("vec")[i]).alias(f"hi{i}") for i in range(dims)],
-        F.collect_list(F.when(F.col("slot") % step == 0, F.col("vec"))).alias("rows"),
-        F.flatten(F.collect_list("vec")).alias("block"),
-    )
-    summary = cut_lineage(summary)  # read twice below, and both readings must agree
-    blocks = summary.select(*own, "leaf", "block")
-    # At most MAX_LEAVES full leaves plus one part-filled leaf per set.
-    boxes = summary.drop("block").toPandas()
-    indexed = []
-    for key, part in boxes.groupby(own, sort=True):
-        kept = [np.asarray(list(r), dtype=float)[:SUMMARY_ROWS] for r in part["rows"]]
-        # Short leaves repeat their first row, so that all summaries have one shape.
-        rows = [np.concatenate([r, np.repeat(r[:1], SUMMARY_ROWS - len(r), axis=0)]) for r in kept]
-        indexed.append(
-            (
-                tuple(key) if isinstance(key, tuple) else (key,),
-                part["leaf"].to_numpy(),
-                part[[f"lo{i}" for i in range(dims)]].to_numpy(dtype=float),
-                part[[f"hi{i}" for i in range(dims)]].to_numpy(dtype=float),
-                np.stack(rows),
-            )
+
+    def __init__(self, candidates: DataFrame, n_num: int, n_cat: int, sets: list[str]):
+        self.n_num, self.dims, self.sets = n_num, n_num + n_cat, sets
+        self.grids = fit_grids(candidates, n_num)
+        leaves = pack_leaves(candidates, self.grids, n_cat, sets).groupBy(*sets, "leaf").agg(
+            *_box({"low": "vec", "high": "vec"}, self.dims),
+            F.collect_list(F.when(F.col("slot") % max(LEAF_ROWS // SUMMARY_ROWS, 1) == 0, F.col("vec"))).alias("rows"),
+            F.flatten(F.collect_list("vec")).alias("block"),
         )
-    index = spark.sparkContext.broadcast(indexed)
-    set_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.select(*own).schema)
+        # Written, as it is read several times and all readings must agree.
+        leaves = written(leaves, "leaves")
+        self.keys = leaves.groupBy(*sets).agg(F.count(F.lit(1)).alias("n")).orderBy(*sets).collect()
+        fields = leaves.select(*sets).schema.add("set_no", "integer")
+        numbers = [(*row[:-1], i) for i, row in enumerate(self.keys)]
+        # One row for each set, as on the driver.
+        self.numbers = candidates.sparkSession.createDataFrame(numbers, fields)
+        level = leaves.join(F.broadcast(self.numbers), sets).withColumnRenamed("leaf", "node")
+        self.blocks = level.select("set_no", "node", "block")
+        level = level.select("set_no", "node", "low", "high", "rows")
+        self.inner: list[DataFrame] = []
+        full = sum(row["n"] for row in self.keys)
+        while full > MAX_TOPS + len(self.keys):
+            up = level.groupBy("set_no", F.floor(F.col("node") / FAN).alias("up")).agg(
+                *_box({"low": "low", "high": "high"}, self.dims),
+                F.sort_array(F.collect_list(F.struct("node", "low", "high", F.col("rows")[0].alias("row")))).alias("kids"),
+            )
+            up = written(up.withColumnRenamed("up", "node"), "nodes")
+            kids = {name: F.col(f"kids.{name}") for name in ("node", "low", "high", "row")}
+            self.inner.append(
+                up.select("set_no", "node", kids["node"].alias("kids"), F.flatten(kids["low"]).alias("lows"), F.flatten(kids["high"]).alias("highs"))
+            )
+            spread = F.filter(kids["row"], lambda row, i: i % max(FAN // SUMMARY_ROWS, 1) == 0)
+            level = up.select("set_no", "node", "low", "high", spread.alias("rows"))
+            full = sum(-(-row["n"] // FAN ** len(self.inner)) for row in self.keys)
+        self.tops = self._packed(level)
+
+    def _packed(self, level: DataFrame) -> list[tuple]:
+        """(node, low, high, rows) as arrays for each set number."""
+        packed = []
+        for _, part in level.toPandas().sort_values(["set_no", "node"]).groupby("set_no"):
+            kept = [np.array([list(v) for v in r], dtype=float)[:SUMMARY_ROWS] for r in part["rows"]]
+            # Nodes with few rows repeat their first, so that all summaries have one shape.
+            rows = [np.concatenate([r, np.repeat(r[:1], SUMMARY_ROWS - len(r), axis=0)]) for r in kept]
+            corners = [np.array([list(v) for v in part[name]], dtype=float) for name in ("low", "high")]
+            packed.append((part["node"].to_numpy(), *corners, np.stack(rows)))
+        return packed
+
+
+BLOCKS = "set_no int, node long, tids array<long>, best array<double>, vecs array<double>"
+
+
+def _emit(set_no: int, nodes: np.ndarray, bound: np.ndarray, t: np.ndarray, best: np.ndarray, a: np.ndarray, closest: bool) -> list:
+    """Blocks of targets for the nodes they go on to: the closest one, or all closer than their best row."""
+    if closest:
+        goes = np.zeros(bound.shape, dtype=bool)
+        goes[np.arange(len(a)), bound.argmin(axis=1)] = True
+    else:
+        goes = bound < best[:, None]
+    out = []
+    for j in np.flatnonzero(goes.any(axis=0)):
+        hit = goes[:, j]
+        out.append((set_no, int(nodes[j]), t[hit], best[hit], a[hit].ravel()))
+    return out
+
+
+def _enter(targets: DataFrame, tree: BoxTree, index, closest: bool) -> DataFrame:
+    """Blocks of the targets (tid, vec, best: one per set or null) for the highest nodes they meet.
+
+    The best distance known for each target and set travels along as a block of node -1.
+    """
+    n_num = tree.n_num
 
     def route(batches):
         for batch in batches:
             vecs, ids = np.stack(batch["vec"].to_numpy()), batch["tid"].to_numpy()
+            told = None if batch["best"].isna().any() else np.stack(batch["best"].to_numpy())
             for start in range(0, len(ids), TARGET_BLOCK):
-                a, t = vecs[start : start + TARGET_BLOCK], ids[start : start + TARGET_BLOCK]
-                found = []
-                for key, leaf, low, high, rows in index.value:
+                at = slice(start, start + TARGET_BLOCK)
+                a, t, found = vecs[at], ids[at], []
+                for set_no, (nodes, low, high, rows) in enumerate(index.value):
                     bound = _box_distance(a, low, high, n_num)
-                    probes = min(PROBES, len(leaf))
-                    best = np.full(len(a), np.inf)
-                    for j in np.argpartition(bound, probes - 1, axis=1)[:, :probes].T:
-                        best = np.minimum(best, _pair_distance(a[:, None, :], rows[j], n_num).min(axis=(1, 2)))
-                    found.append((*key, -1, t, best, np.empty(0)))
-                    near = bound < best[:, None]
-                    for j in np.flatnonzero(near.any(axis=0)):
-                        hit = near[:, j]
-                        found.append((*key, int(leaf[j]), t[hit], np.empty(0), a[hit].ravel()))
-                yield pd.DataFrame(found, columns=[*own, "leaf", "tids", "best", "vecs"])
-
-    # Copies of a target are searched once; in packing order a block of targets meets few leaves.
-    distinct = with_packing_key(targets.groupBy("vec").agg(F.min(row_id).alias("tid")), grids, n_cat)
-    ordered = distinct.repartitionByRange("_key", "tid").sortWithinPartitions("_key")
-    routed = ordered.select("tid", "vec").mapInPandas(
-        route, f"{set_fields}, leaf long, tids array<long>, best array<double>, vecs array<double>"
-    )
+                    if told is None:
+                        probes = min(PROBES, len(nodes))
+                        best = np.full(len(a), np.inf)
+                        for j in np.argpartition(bound, probes - 1, axis=1)[:, :probes].T:
+                            best = np.minimum(best, _pair_distance(a[:, None, :], rows[j], n_num).min(axis=(1, 2)))
+                    else:
+                        best = told[at, set_no]
+                    found.append((set_no, -1, t, best, np.empty(0)))
+                    found += _emit(set_no, nodes, bound, t, best, a, closest)
+                yield pd.DataFrame(found, columns=["set_no", "node", "tids", "best", "vecs"])
+
+    return targets.select("tid", "vec", "best").mapInPandas(route, BLOCKS)
+
+
+def _step_down(blocks: DataFrame, children: DataFrame, tree: BoxTree, closest: bool) -> DataFrame:
+    """Blocks of the children that the targets of each block go on to."""
+    n_num, dims = tree.n_num, tree.dims
+
+    def step(batches):
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                if row.node < 0:
+                    found.append((row.set_no, -1, row.tids, row.best, row.vecs))
+                    continue
+                a, low, high = (np.reshape(x, (-1, dims)) for x in (row.vecs, row.lows, row.highs))
+                bound = _box_distance(a, low, high, n_num)
+                found += _emit(row.set_no, row.kids, bound, row.tids, row.best, a, closest)
+            yield pd.DataFrame(found, columns=["set_no", "node", "tids", "best", "vecs"])
+
+    met = blocks.join(children, ["set_no", "node"], "left")
+    return met.select("set_no", "node", "tids", "best", "vecs", "kids", "lows", "highs").mapInPandas(step, BLOCKS)
+
+
+def _search(targets: DataFrame, tree: BoxTree, index, closest: bool) -> DataFrame:
+    """(tid, set_no, squared): the smallest squared distance in the leaves that each target reaches."""
+    n_num, dims = tree.n_num, tree.dims
+    blocks = _enter(targets, tree, index, closest)
+    for children in reversed(tree.inner):
+        blocks = _step_down(blocks, children, tree, closest)
 
     def search(batches):
         for batch in batches:
-            pieces = []
+            tids, numbers, squared = [], [], []
             for row in batch.itertuples(index=False):
-                if row.leaf < 0:
-                    best = row.best
-                else:
+                best = row.best
+                if row.node >= 0:
                     a, b = np.reshape(row.vecs, (-1, dims)), np.reshape(row.block, (-1, dims))
                     best = _pair_distance(a, b, n_num).min(axis=1)
-                pieces.append(([getattr(row, name) for name in own], row.tids, best))
-            yield pd.DataFrame(
-                {
-                    "tid": np.concatenate([t for _, t, _ in pieces]),
-                    **{n: np.repeat([k[i] for k, _, _ in pieces], [len(t) for _, t, _ in pieces]) for i, n in enumerate(own)},
-                    "squared": np.concatenate([d for _, _, d in pieces]),
-                }
-            )
+                tids.append(row.tids)
+                numbers.append(np.full(len(row.tids), row.set_no))
+                squared.append(best)
+            yield pd.DataFrame({"tid": np.concatenate(tids), "set_no": np.concatenate(numbers), "squared": np.concatenate(squared)})
+
+    met = blocks.join(tree.blocks, ["set_no", "node"], "left").select("set_no", "node", "tids", "best", "vecs", "block")
+    found = met.mapInPandas(search, "tid long, set_no int, squared double")
+    return found.groupBy("tid", "set_no").agg(F.min("squared").alias("squared"))
+
+
+def nearest(
+    targets: DataFrame,
+    candidates: DataFrame,
+    n_num: int,
+    n_cat: int,
+    sets: list[str] | None = None,
+    row_id: str = "row_id",
+) -> DataFrame:
+    """(row_id, sets..., distance): distance of every target to its nearest candidate, per set.
+
+    Both tables carry `vec`: the numbers, then the category codes. `targets` has the row ids,
+    `candidates` the set columns. Without candidates no target has a distance.
+    """
+    sets = list(sets or [])
+    own = sets or ["only_set"]
+    tree = BoxTree(candidates if sets else candidates.withColumn("only_set", F.lit(0)), n_num, n_cat, own)
+    index = targets.sparkSession.sparkContext.broadcast(tree.tops)
 
-    met = routed.join(blocks, [*own, "leaf"], "left").select(*own, "leaf", "tids", "best", "vecs", "block")
-    found = met.mapInPandas(search, f"tid long, {set_fields}, squared double")
-    best = found.groupBy("tid", *own).agg(F.sqrt(F.min("squared")).alias("distance"))
+    # Copies of a target are searched once; in packing order a block of targets meets few nodes.
     ids = targets.groupBy("vec").agg(F.min(row_id).alias("tid"))
+    ordered = with_packing_key(ids, tree.grids, n_cat).repartitionByRange("_key", "tid").sortWithinPartitions("_key")
+    unknown = F.lit(None).cast("array<double>")
+    if tree.inner:
+        # The rows sent with high nodes lie far apart: one way down first, for a close bound.
+        first = _search(ordered.withColumn("best", unknown), tree, index, closest=True)
+        # One number for each set and target, in the order of the set numbers.
+        known = first.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("set_no", "squared")))["squared"].alias("best"))
+        ordered = written(ordered.join(known, "tid"), "bounds").repartitionByRange("_key", "tid").sortWithinPartitions("_key")
+    else:
+        ordered = ordered.withColumn("best", unknown)
+    best = _search(ordered, tree, index, closest=False).join(F.broadcast(tree.numbers), "set_no")
     members = targets.select(row_id, "vec").join(ids, "vec").select(row_id, "tid")
-    return members.join(best, "tid").select(row_id, *sets, "distance")
+    return members.join(best, "tid").select(row_id, *sets, F.sqrt("squared").alias("distance"))
 
 
 def vectors(df: DataFrame, joint: JointEncoder, keep: list[str]) -> DataFrame:

@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back: lineage cut, statistics and pruning kept."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Removes the scratch tables of this driver; call it once what reads them has been written."""
     hadoop, removed = spark.sparkContext._jvm.org.apache.hadoop.fs, 0
