@@ -76,49 +76,47 @@ def fit_grids(candidates: DataFrame, n_num: int) -> list[list[float]]:
     return [row[f"g{i}"] or [] for i in range(n_num)]
 
 
-def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int) -> DataFrame:
-    """Adds `_key`: category combination first, then interleaved quantile bins of the numbers."""
+def with_packing_key(df: DataFrame, grids: list[list[float]], n_cat: int, fine: bool = False) -> DataFrame:
+    """Adds `_key`: category combination first, then interleaved quantile bins of the numbers.
+
+    With `fine` also `_fine`: the places of the numbers within their bins, interleaved like the bins.
+    Numbers beyond the first FINE_BITS take no part in it; rows of equal places stay together.
+    """
     bits, n_num = int(math.log2(BINS)), len(grids)
     literal = lambda values: F.array(*[F.lit(v) for v in values]).cast("array<double>")
     ranked = df.withColumns({f"_q{i}": count_below(literal(g), F.col("vec")[i], BINS) for i, g in enumerate(grids)})
-    ranks = [F.col(f"_q{i}") for i in range(n_num)]
-    place = F.lit(0).cast("long")
-    for b in range(bits - 1, -1, -1):
-        for rank in ranks:
-            place = place * 2 + F.shiftright(rank, b).bitwiseAND(F.lit(1)).cast("long")
+    place = _interleaved([F.col(f"_q{i}") for i in range(n_num)], bits, "long")
     combo = F.lit(0.0)
     for i in range(n_num, n_num + n_cat):
         combo = combo * 64.0 + F.least(F.col("vec")[i] + 1.0, F.lit(63.0))
     # Only the order matters; doubles keep the leading categories exact and blur the last bins.
-    key = combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double")
-    return ranked.withColumn("_key", key).drop(*[f"_q{i}" for i in range(n_num)])
-
+    added = {"_key": combo * float(2 ** min(bits * max(n_num, 1), 30)) + place.cast("double")}
+    if fine:
+        used = [(i, g) for i, g in enumerate(grids) if g][:FINE_BITS]
+        fine_bits = FINE_BITS // max(len(used), 1)
+        places = {}
+        for i, grid in used:
+            value, low, high = F.col("vec")[i], F.get(literal(grid), F.col(f"_q{i}") - 1), F.get(literal(grid), F.col(f"_q{i}"))
+            # The outer bins have one bound: the distance to it, saturating at the typical width of a bin.
+            width = F.lit(max((grid[-1] - grid[0]) / BINS, 1e-300))
+            share = (
+                F.when(low.isNull(), width / (high - value + width))
+                .when(high.isNull(), (value - low) / (value - low + width))
+                .when(high > low, (value - low) / (high - low))
+            )
+            places[f"_p{i}"] = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * 2**fine_bits), F.lit(2**fine_bits - 1)).cast("int")
+        ranked = ranked.withColumns(places)
+        added["_fine"] = _interleaved([F.col(p) for p in places], fine_bits, "int")
+    return ranked.withColumns(added).drop(*[f"{c}{i}" for c in ("_q", "_p") for i in range(n_num)])
 
-def with_fine_place(keyed: DataFrame, grids: list[list[float]]) -> DataFrame:
-    """Adds `_fine`: the places of the numbers within their quantile bins, interleaved like the bins.
 
-    Numbers beyond the first FINE_BITS take no part; rows of equal places stay together.
-    """
-    used = [(i, g) for i, g in enumerate(grids) if g][:FINE_BITS]
-    bits = FINE_BITS // len(used) if used else 0
-    places = []
-    for i, grid in used:
-        value, bounds = F.col("vec")[i], F.array(*[F.lit(float(v)) for v in grid])
-        at = count_below(bounds, value, BINS)
-        low, high = F.get(bounds, at - 1), F.get(bounds, at)
-        # The outer bins have one bound: the distance to it, saturating at the typical width of a bin.
-        width = F.lit(max((grid[-1] - grid[0]) / BINS, 1e-300))
-        share = (
-            F.when(low.isNull(), width / (high - value + width))
-            .when(high.isNull(), (value - low) / (value - low + width))
-            .when(high > low, (value - low) / (high - low))
-        )
-        places.append(F.least(F.floor(F.coalesce(share, F.lit(0.0)) * 2**bits), F.lit(2**bits - 1)).cast("int"))
-    fine = F.lit(0)
+def _interleaved(places: list, bits: int, kind: str):
+    """One number of the bits of all places, the leading ones first."""
+    out = F.lit(0).cast(kind)
     for bit in range(bits - 1, -1, -1):
         for place in places:
-            fine = fine * 2 + F.shiftright(place, bit).bitwiseAND(F.lit(1))
-    return keyed.withColumn("_fine", fine)
+            out = out * 2 + F.shiftright(place, bit).bitwiseAND(F.lit(1)).cast(kind)
+    return out
 
 
 def pack_leaves(candidates: DataFrame, grids: list[list[float]], n_cat: int, sets: list[str]) -> DataFrame:
@@ -128,7 +126,8 @@ def pack_leaves(candidates: DataFrame, grids: list[list[float]], n_cat: int, set
     2 ** FINE_BITS of them, and only rows of one place are sorted together.
     """
     distinct = candidates.select(*sets, "vec").distinct()
-    keyed = with_fine_place(with_packing_key(distinct, grids, n_cat), grids)
+    # Written, as counts, places and rows are read from it one after the other.
+    keyed = written(with_packing_key(distinct, grids, n_cat, fine=True), "keyed")
     pieces = keyed.groupBy(*sets, "_key", "_fine").agg(F.count(F.lit(1)).alias("_n"))
     keys = pieces.groupBy(*sets, "_key").agg(F.sum("_n").alias("_n"))
     placed = running_totals(keys, "_key", ["_n"], groups=sets)
@@ -322,14 +321,16 @@ def nearest(
 
     # Copies of a target are searched once; in packing order a block of targets meets few nodes.
     ids = targets.groupBy("vec").agg(F.min(row_id).alias("tid"))
-    ordered = with_packing_key(ids, tree.grids, n_cat).repartitionByRange("_key", "tid").sortWithinPartitions("_key")
+    # The number is given: few bytes make much work here, and partitions would be merged by their bytes.
+    tasks = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = with_packing_key(ids, tree.grids, n_cat).repartitionByRange(tasks, "_key", "tid").sortWithinPartitions("_key")
     unknown = F.lit(None).cast("array<double>")
     if tree.inner:
         # The rows sent with high nodes lie far apart: one way down first, for a close bound.
         first = _search(ordered.withColumn("best", unknown), tree, index, closest=True)
         # One number for each set and target, in the order of the set numbers.
         known = first.groupBy("tid").agg(F.sort_array(F.collect_list(F.struct("set_no", "squared")))["squared"].alias("best"))
-        ordered = written(ordered.join(known, "tid"), "bounds").repartitionByRange("_key", "tid").sortWithinPartitions("_key")
+        ordered = written(ordered.join(known, "tid"), "bounds").repartitionByRange(tasks, "_key", "tid").sortWithinPartitions("_key")
     else:
         ordered = ordered.withColumn("best", unknown)
     best = _search(ordered, tree, index, closest=False).join(F.broadcast(tree.numbers), "set_no")
