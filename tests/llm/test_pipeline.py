@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from tests.llm import cases
 from tests.llm.test_copies import brute_components, brute_fingerprint
@@ -32,6 +34,19 @@ def test_stages_against_brute_force(spark, sf):
         assert stages[name](spark, docs.where("false"), sf).count() == 0
 
 
+def test_columns_of_any_name_come_back(spark, sf):
+    names = ["_judged", "_mark", "_ID", "_key", "_l_id", "_l_here", "_m_name", "_m_size", "_m_cut", "mix_size", "lang_pred", "line_total", "id", "mark", "input_mark"]
+    docs = cases.table(spark).withColumns({name: F.concat_ws("/", F.lit(name), "doc_id") for name in names})
+    for name, stage in pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, cases.table(spark), sf), stage(spark, docs, sf)
+        assert wide.columns == docs.columns
+        rows = wide.collect()
+        own = lambda r: (str(r["doc_id"]), str(r["text"]), str(r["source"]))
+        assert sorted(map(own, rows)) == sorted(map(own, plain.collect()))
+        assert all(r[c] == c + (f"/{r['doc_id']}" if r["doc_id"] is not None else "") for r in rows for c in names)
+    assert dict(pipeline.STAGES)["pack"](spark, docs, sf).count() > 0
+
+
 def test_whole_run(spark, sf):
     packed = pipeline.run(spark, sf)
     assert packed.count() > 0

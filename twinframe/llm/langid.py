@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.shared import rest_of_id
+from twinframe.llm.shared import keeps_names, rest_of_id
 
 UNDETERMINED = "und"
 #: Passages each language's dictionary is made of, and their length in characters: the bound of the sample.
@@ -114,6 +114,7 @@ class Compressors:
         return self.langs[best], 1.0 / (1.0 + odds), margin, margin >= least_margin
 
 
+@keeps_names("_")
 def identify(
     docs: DataFrame,
     dictionaries: list[tuple[str, bytes]],

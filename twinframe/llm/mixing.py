@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinframe.llm.shared import WORD, stash
+from twinframe.llm.shared import WORD, keeps_names, stash
 
 #: Words in a block. Quotas are whole blocks, so a source ends within half a block of its target.
 BLOCK_WORDS = 8
@@ -85,6 +85,7 @@ def apportion(parties: DataFrame, group: str) -> DataFrame:
     )
 
 
+@keeps_names("_")
 def mix(
     docs: DataFrame,
     weights: Sequence[int] = (3, 1, 2),
@@ -190,6 +191,7 @@ def mix(
     )
 
 
+@keeps_names("_", "mix_")
 def draw(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The mixed table: whole copies, and the run of words of rows taken in part, joined by spaces.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,40 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def apart(docs: DataFrame, work: Callable[[DataFrame], DataFrame], *starts: str) -> DataFrame:
+    """The result of `work`, which may use columns that begin with one of `starts` as its own.
+
+    Columns of the input that begin so are renamed before and get their names and values back after.
+    """
+    used, aside = {c.lower() for c in docs.columns}, {}
+    for name in docs.columns:
+        if name.lower().startswith(starts):
+            other = f"input{name}"
+            while other.lower() in used or other.lower().startswith(starts):
+                other = f"input_{other}"
+            used.add(other.lower())
+            aside[name] = other
+    return work(docs.withColumnsRenamed(aside)).withColumnsRenamed({other: name for name, other in aside.items()})
+
+
+def keeps_names(*starts: str):
+    """An operator on `docs` as `apart` runs it; column names among its arguments are renamed alike."""
+
+    def decorate(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            def work(renamed: DataFrame) -> DataFrame:
+                now = dict(zip(docs.columns, renamed.columns))
+                told = lambda value: now.get(value, value) if isinstance(value, str) else value
+                return operator(renamed, *map(told, args), **{k: told(v) for k, v in options.items()})
+
+            return apart(docs, work, *starts)
+
+        return run
+
+    return decorate
+
+
 def text_crc(column: Column | str) -> Column:
     """Unsigned CRC-32 of the column as text; null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinframe.llm.shared import components, stash
+from twinframe.llm.shared import components, keeps_names, stash
 
 #: Defaults of the contract: words in a shingle, seed of the hash, differing bits of a link.
 SHINGLE_WORDS = 4
@@ -228,6 +228,7 @@ def near_duplicates(
     return printed.join(known, "fp").select("id", "fp", "root", "component_id", *carried)
 
 
+@keeps_names("_")
 def keep_one(docs: DataFrame, words_in_shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """One document of each group stays: the one with the smallest doc_id, nulls last.
 
