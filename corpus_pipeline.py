@@ -1,6 +1,7 @@
 """From documents to packed training sequences: five stages, each one operator of twinframe.llm.
 
-Every stage takes what the one before kept and, but for the last, returns the columns of documents.
+Every stage takes what the one before kept and, but for the last, returns the columns of documents;
+further columns of the input come back unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinframe.llm import langid, lines, mixing, packing, simhash
-from twinframe.llm.shared import stash
+from twinframe.llm.shared import apart, stash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,14 +29,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the quarter that the operator's query holds out.
     """
     dictionaries = langid.fit_dictionaries(docs, ~langid.held_out())
-    return langid.identify(docs, dictionaries).where("lang_accepted").select(*docs.columns)
+    accepted = lambda rows: langid.identify(rows, dictionaries).where("lang_accepted").select(*rows.columns)
+    return apart(docs, accepted, "lang_")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; a document that has only such lines goes."""
-    done = lines.deduplicate(docs, least_chars=lines.EVERY_LINE)
     emptied = (F.col("line_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return recounted(done.where(~emptied).select(*docs.columns))
+    shortened = lambda rows: lines.deduplicate(rows, least_chars=lines.EVERY_LINE).where(~emptied).select(*rows.columns)
+    return recounted(apart(docs, shortened, "line_"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
