@@ -412,7 +412,37 @@ def test_svc_kernels(spark):
     score = lambda **k: md.classification_metrics(md.svc(df, df, C=10.0, **k)).first()["accuracy"]
     assert score(kernel="rbf") > 0.9 and score(kernel="poly") > 0.9
     with pytest.raises(ValueError):
-        md.svc(df, df, kernel="sigmoid")
+        md.svc(df, df, kernel="cosine")
+    sides = df.withColumn("label", F.expr("CAST(features[0] > features[1] AS DOUBLE)"))
+    assert md.classification_metrics(md.svc(sides, sides, C=10.0, kernel="sigmoid")).first()["accuracy"] > 0.9
+
+
+def test_landmarks_give_the_kernel(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id long, features array<double>").repartition(3)
+    rbf = lambda a, b: np.exp(-0.5 * ((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+    sigmoid = lambda a, b: np.tanh(0.4 * a @ b.T)
+
+    def gram(kernel, landmarks):
+        (out,) = md.landmark_features(df, [df], kernel, landmarks)
+        z = np.array([r["features"] for r in out.orderBy("row_id").collect()])
+        return z @ z.T, z.shape[1]
+
+    whole, _ = gram(rbf, 60)
+    assert np.allclose(whole, rbf(x, x), atol=1e-6)
+    part, width = gram(rbf, 20)
+    assert width == 20 and 0 < np.abs(part - rbf(x, x)).max() < 1
+    # A kernel with negative eigenvalues: the same eigenvectors, all eigenvalues by their size.
+    values, vectors = np.linalg.eigh(sigmoid(x, x))
+    assert values.min() < -1e-3
+    flipped, _ = gram(sigmoid, 60)
+    assert np.allclose(flipped, (vectors * np.abs(values)) @ vectors.T, atol=1e-4)
+
+
+def test_all_kernels_are_drawn():
+    drawn = {se.draw(se.SPACES["svc"], number)["kernel"] for number in range(50)}
+    assert drawn == {"linear", "poly", "rbf", "sigmoid"}
 
 
 def test_scratch_is_removed(spark):

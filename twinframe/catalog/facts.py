@@ -213,6 +213,7 @@ _learns_number("I3_forest_learns", "rfr")
 _learns_number("I4_mlp_learns", "mlpr")
 _learns_class("I5_logistic_learns", "logistic")
 _learns_class("I6_svc_learns", "svc", kernel="rbf")
+_learns_class("I6_sigmoid_learns", "svc", kernel="sigmoid")
 _learns_class("I7_forest_learns", "rfc")
 _learns_class("I8_mlp_learns", "mlpc")
 

@@ -22,7 +22,7 @@ SPACES: dict[str, dict[str, tuple]] = {
     "svr": {"C": ("log", 1e-5, 1e-1), "epsilon": ("log", 1e-5, 1e-1)},
     "svc": {
         "C": ("log", 1e-5, 1e-1),
-        "kernel": ("choice", ["linear", "poly", "rbf"]),
+        "kernel": ("choice", ["linear", "poly", "rbf", "sigmoid"]),
         "gamma": ("choice", ["scale", "auto"]),
     },
     "rfr": {
