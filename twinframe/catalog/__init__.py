@@ -17,6 +17,7 @@ MODULES = (
     "rows",
     "encoding",
     "codecs",
+    "wide",
     "fidelity",
     "distributions",
     "utility",

@@ -19,7 +19,7 @@ from twinframe.operators.encode import (
     ordinal_decode,
     ordinal_encode,
 )
-from twinframe.operators.ordering import as_small
+from twinframe.operators.ordering import as_small, ranks_within
 
 # Numbers are coded in 32 bits, and "_" in a category is written "#".
 NUMBER_BITS = 32
@@ -268,8 +268,7 @@ def first_seen_codes(df: DataFrame, columns: list[str], row_id: str = "row_id")
         .groupBy("e.column", "e.value")
         .agg(F.min(row_id).alias("_first"))
     )
-    code = F.row_number().over(W.partitionBy("column").orderBy("_first")) - 1
-    return seen.select("column", "value", code.cast("long").alias("code"))
+    return ranks_within(seen, "column", "_first", "code").select("column", "value", "code")
 
 
 def fit_bits(df: DataFrame, num_columns: list[str], cat_columns: list[str], row_id: str = "row_id") -> BitCodec:

@@ -13,10 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from twinframe.functions.special import add_norm_ppf
-from twinframe.operators.ordering import as_small, running_totals
+from twinframe.operators.ordering import as_small, look_up, ranks_within, running_totals
 
 # Most categories one column may have in a dense one-hot array.
 ONE_HOT_LIMIT = 10_000
@@ -75,16 +74,11 @@ def categories(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value, code): sorted distinct non-null values of each column, coded from 0.
 
     The columns are unpivoted and counted in one shuffle; copies of a value collapse on the
-    map side, and codes are ranked within a column over distinct values only.
+    map side, and codes are ranked within a column over distinct values only, by ranges if they are many.
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
     distinct = df.select(F.explode(cells).alias("e")).select("e.*").where(F.col("value").isNotNull()).distinct()
-    code = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
-    return distinct.withColumn("code", code.cast("long"))
-
-
-def _map_of(codes: DataFrame, column: str) -> DataFrame:
-    return as_small(codes.where(F.col("column") == column).select("value", "code"))
+    return ranks_within(distinct, "column", "value", "code")
 
 
 def ordinal_encode(
@@ -93,12 +87,12 @@ def ordinal_encode(
     """Category codes; unseen values get `unknown`. With keep_null, missing cells stay missing."""
     out = df
     for c in columns:
-        mapped = _map_of(codes, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        out = out.join(mapped, F.col(c).cast("string") == F.col("_value"), "left")
+        entries = codes.where(F.col("column") == c).select(F.col("value").alias("k"), F.col("code").alias("v"))
+        out = look_up(out, F.col(c).cast("string"), entries, "_code")
         coded = F.coalesce("_code", F.lit(unknown).cast("long")) if unknown is not None else F.col("_code")
         if keep_null:
             coded = F.when(F.col(c).isNotNull(), coded)
-        out = out.withColumn(c, coded).drop("_value", "_code")
+        out = out.withColumn(c, coded).drop("_code")
     return out.select(*df.columns)
 
 
@@ -106,9 +100,9 @@ def ordinal_decode(df: DataFrame, columns: list[str], codes: DataFrame) -> DataF
     """Codes back to categories; the code is cut to a whole number first, unknown codes give null."""
     out = df
     for c in columns:
-        mapped = _map_of(codes, c).select(F.col("value").alias("_value"), F.col("code").alias("_code"))
-        out = out.join(mapped, F.col(c).cast("long") == F.col("_code"), "left")
-        out = out.withColumn(c, F.col("_value")).drop("_value", "_code")
+        entries = codes.where(F.col("column") == c).select(F.col("code").alias("k"), F.col("value").alias("v"))
+        out = look_up(out, F.col(c).cast("long"), entries, "_value")
+        out = out.withColumn(c, F.col("_value")).drop("_value")
     return out.select(*df.columns)
 
 

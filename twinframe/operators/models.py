@@ -67,7 +67,10 @@ def classification_metrics(predictions: DataFrame, label: str = "label", predict
 
 
 def as_vectors(df: DataFrame) -> DataFrame:
-    return df.select("row_id", array_to_vector("features").alias("features"), F.col("label").cast("double").alias("label"))
+    """Feature arrays as vectors; sparse vectors pass as they are."""
+    dense = isinstance(df.schema["features"].dataType, T.ArrayType)
+    features = array_to_vector("features").alias("features") if dense else F.col("features")
+    return df.select("row_id", features, F.col("label").cast("double").alias("label"))
 
 
 def _size(train: DataFrame) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from twinframe.functions.hashing import rnd
+from twinframe.session import written
 
 LEAST_BUCKETS = 128
 HASH_BUCKETS = 65536
@@ -102,6 +103,54 @@ def dense_index(df: DataFrame, key: str, name: str = "row_index", buckets: int |
     return counted.withColumn(name, F.col("cum__w") - 1).drop("_w", "cum__w", "all__w", f"next_{key}")
 
 
+def ranks_within(df: DataFrame, group: str, key: str, name: str, limit: int = 10_000) -> DataFrame:
+    """0-based rank of `key`, of any ordered type, within its group; (group, key) must be unique.
+
+    A table of at most `limit` rows is ranked where it is. A larger one is dealt out by ranges of
+    (group, key) and written, so that its ranges are fixed; rows are ranked in their range, and only
+    the counts of the ranges (a row for each range and group) are accumulated in one place.
+    """
+    rows = df.take(limit + 1)
+    if len(rows) <= limit:
+        local = df.sparkSession.createDataFrame(rows, df.schema)
+        return local.withColumn(name, (F.row_number().over(W.partitionBy(group).orderBy(key)) - 1).cast("long"))
+    ranged = written(df.repartitionByRange(group, key).withColumn("_range", F.spark_partition_id()), "ranges")
+    earlier = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    before = (
+        ranged.groupBy(group, "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .select(group, "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    )
+    inside = F.row_number().over(W.partitionBy(group, "_range").orderBy(key)) - 1
+    ranked = ranged.withColumn("_inside", inside).join(as_small(before, 100_000), [group, "_range"])
+    return written(ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name)), "ranks")
+
+
+def look_up(df: DataFrame, key: Column, table: DataFrame, name: str, hot_share: int = 10_000) -> DataFrame:
+    """The rows with column `name`: what `table` (unique k, v) holds for the key, null if nothing.
+
+    A small table is sent to the rows. For a larger one the rows are shuffled by key, but for those
+    of a frequent key: of keys held by more than one row in `hot_share` there are fewer than
+    `hot_share`, so their entries are sent. Rows that need no other entry, or have a null key, are spread by
+    their contents, and no task gets all rows of a key.
+    """
+    small = as_small(table)
+    if small is not table:
+        found = small.select(F.col("k").alias("_k"), F.col("v").alias(name))
+        return df.withColumn("_key", key).join(found, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
+    counts = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    often = counts.where(F.col("_k").isNotNull() & (F.col("_n") * hot_share > F.lit(df.count())))
+    hot = often.join(table, F.col("_k") == F.col("k"), "left").select(F.col("_k").alias("_hot"), F.col("v").alias("_hot_v"))
+    hot = as_small(hot, hot_share)
+    settled = F.col("_hot").isNotNull() | F.col("_key").isNull()
+    spread = F.when(settled, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))).otherwise(0)
+    rows = df.withColumn("_key", key).join(hot, F.col("_key") == F.col("_hot"), "left").withColumn("_spread", spread)
+    rest = table.select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.lit(0).cast("long").alias("_at"))
+    joined = rows.join(rest, (F.col("_spread") == F.col("_at")) & (F.col("_key") == F.col("_k")), "left")
+    value = F.when(F.col("_hot").isNotNull(), F.col("_hot_v")).otherwise(F.col("_v"))
+    return joined.select(*df.columns, value.alias(name))
+
+
 def _last_chosen(draws: DataFrame, quotas: DataFrame, key: list[str]) -> DataFrame:
     """Per stratum, the last (_r, _id) among the `quota` smallest draws.
 
