@@ -1,4 +1,4 @@
-"""Encodings of columns with many categories (E2, E12, E16, E18, E19, E21, I1), kept sparse."""
+"""Columns with many categories: sparse encodings (E2, E16, E18, E19, E21, I1) and marginals as tables (K1, K2)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from twinframe.catalog import query
 from twinframe.catalog import fixtures as fx
 from twinframe.catalog.codecs import DUMMIES, NAMED_CAT, SCORES, named
+from twinframe.operators import copula as cp
 from twinframe.operators import models as md
 from twinframe.operators import sparse as sp
 from twinframe.operators.encode import Scaler
@@ -124,3 +125,34 @@ def _(spark, sf):
     scored = md.ridge(coder.transform(df.where(SEEN)), coder.transform(df), alpha=2.0, fit_intercept=False)
     error = F.col("label") - F.col("prediction")
     return scored.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(error * error), 3).alias("mse"))
+
+
+def line_models(spark, sf):
+    df = lines(spark, sf).select("row_id", "l_orderkey", "l_returnflag", "l_quantity")
+    return df, cp.fit_copula(df, ["l_quantity"], LINE_CAT)
+
+
+@query(
+    "K1_wide_intervals",
+    f"WITH {LINES}, counted AS (SELECT CAST(l_orderkey AS VARCHAR) AS value, count(*) AS n FROM lines GROUP BY 1), cumulated AS "
+    "(SELECT value, n, sum(n) OVER (ORDER BY n DESC, value ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER () AS total FROM "
+    "counted) SELECT value, round((upto - n) / total, 9) AS low, round(upto / total, 9) AS high FROM cumulated",
+)
+def _(spark, sf):
+    _, models = line_models(spark, sf)
+    return models.intervals("l_orderkey").select("value", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
+@query(
+    "K2_wide_sample",
+    "SELECT count(*) AS n, count(*) AS known, true AS every_second_order FROM lineitem",
+)
+def _(spark, sf):
+    """As many rows as lines: all orders are known ones, and at least half of the orders are drawn."""
+    df, models = line_models(spark, sf)
+    known = df.select("l_orderkey").distinct().withColumn("known", F.lit(1))
+    drawn = cp.sample_copula(models, df.count(), seed=3).join(known, "l_orderkey", "left")
+    orders = known.agg(F.count("known").alias("orders"))
+    found = drawn.agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("known"), F.count_distinct("l_orderkey").alias("drawn"))
+    # One row of counts each.
+    return found.join(F.broadcast(orders)).select("n", "known", (F.col("drawn") * 2 >= F.col("orders")).alias("every_second_order"))

@@ -18,13 +18,17 @@ from pyspark.sql import types as T
 from twinframe.functions.hashing import fast_normal, fast_uniform
 from twinframe.functions.special import add_norm_cdf, add_norm_ppf, gamma_cdf
 from twinframe.operators.dependence import correlation
+from twinframe.operators.ordering import count_below, look_up, ranks_within, running_totals
+from twinframe.session import written
 
 FAMILIES = ("norm", "truncnorm", "uniform", "gamma")
 GRID = 512  # nodes of a tabulated gamma marginal
 Z_LIMIT = 6.0
 EDGE = 1e-9
 NUMBER_PARAMS = ("mean", "sd", "lo", "hi", "below", "upto", "theta", "base", "top")
-MAX_LEVELS = 10_000  # categories of one column in one model
+MAX_LEVELS = 10_000  # categories of a column in one model that travel as an array; more are a table
+CHUNK = 1_000  # consecutive categories in one row of such a table
+HOT_CHUNKS = 2_000  # a chunk drawn by more than one row in so many is sent to the rows
 
 
 @dataclass(frozen=True)
@@ -37,6 +41,7 @@ class CopulaModels:
     types: dict[str, T.DataType]
     keys: tuple[str, ...]
     rows: list[dict] = field(repr=False)
+    levels: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     @property
     def categories(self) -> list[str]:
@@ -50,6 +55,8 @@ class CopulaModels:
             if c in self.families:
                 fields += [T.StructField(f"{p}{i}", T.DoubleType()) for p in NUMBER_PARAMS]
                 fields += [T.StructField(f"{p}{i}", T.ArrayType(T.DoubleType())) for p in ("forward", "back")]
+            elif c in self.levels:
+                fields += [T.StructField(f"bounds{i}", T.ArrayType(T.DoubleType()))]
             else:
                 fields += [
                     T.StructField(f"labels{i}", T.ArrayType(T.StringType())),
@@ -58,6 +65,19 @@ class CopulaModels:
         schema = T.StructType(fields)
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in self.rows], schema)
 
+    def intervals(self, column: str) -> DataFrame:
+        """(model, value, low, high): the share interval of each category of a column."""
+        if column in self.levels:
+            return self.levels[column].select("model", "value", "low", "high")
+        i = self.columns.index(column)
+        ends = F.col(f"shares{i}")
+        spans = F.arrays_zip(
+            F.col(f"labels{i}").alias("value"),
+            F.concat(F.array(F.lit(0.0)), F.slice(ends, 1, F.size(ends) - 1)).alias("low"),
+            ends.alias("high"),
+        )
+        return self.frame().select("model", F.explode(spans).alias("e")).select("model", "e.value", "e.low", "e.high")
+
     def correlation(self) -> DataFrame:
         """(keys..., a, b, corr) of the fitted normal scores."""
         out = [
@@ -94,13 +114,47 @@ def _read_grid(nodes: Column, place: Column) -> Column:
     return low + (at - left) * (high - low)
 
 
+def _kinds(models: CopulaModels) -> dict[int, str]:
+    kind = lambda c: models.families.get(c, "wide" if c in models.levels else "category")
+    return {i: kind(c) for i, c in enumerate(models.columns)}
+
+
+def _with_parts(models: CopulaModels, source: DataFrame) -> DataFrame:
+    """Adds the interval part<i> of a row's category in each column whose categories are a table."""
+    out = source
+    for i, c in enumerate(models.columns):
+        if c in models.levels:
+            key = F.struct("model", "value").alias("k")
+            table = models.levels[c].select(key, F.struct("low", "high").alias("v"))
+            often = models.levels[c].where((F.col("high") - F.col("low")) * MAX_LEVELS > 1).select(key.alias("_k"))
+            value = F.col(c).cast("string").alias("value")
+            out = look_up(out, F.when(value.isNotNull(), F.struct("model", value)), table, f"part{i}", often=often)
+    return out
+
+
+def _with_drawn(models: CopulaModels, out: DataFrame) -> DataFrame:
+    """Adds the categories whose intervals hold u<i>, for the columns whose categories are a table."""
+    for i, c in enumerate(models.columns):
+        if c in models.levels:
+            key = F.struct("model", "chunk").alias("k")
+            ends = F.sort_array(F.collect_list(F.struct("high", "value"))).alias("v")
+            table = models.levels[c].groupBy("model", "chunk").agg(ends, (F.max("high") - F.min("low")).alias("mass"))
+            often = table.where(F.col("mass") * HOT_CHUNKS > 1).select(key.alias("_k"))
+            drawn = F.struct("model", F.col(f"chunk{i}").alias("chunk"))
+            out = look_up(out, drawn, table.select(key, "v"), "_ends", HOT_CHUNKS, HOT_CHUNKS // 10, often)
+            at = count_below(F.col("_ends")["high"], F.col(f"u{i}"), CHUNK)
+            label = F.get(F.col("_ends")["value"], F.least(at, F.size("_ends") - 1))
+            out = out.withColumn(c, label.cast(models.types[c])).drop("_ends", f"u{i}", f"chunk{i}")
+    return out
+
+
 def _scores(models: CopulaModels, placed: DataFrame, keep: list[str], row_id: str, seed: int) -> DataFrame:
     """Normal score z<i> of every column: its distribution function, then the normal quantile.
 
     Built up in steps of plain columns: the normal functions use their argument many times.
     """
     p = lambda name, i: F.col(f"{name}{i}")
-    kind = {i: models.families.get(c, "category") for i, c in enumerate(models.columns)}
+    kind = _kinds(models)
     first = {}
     for i, c in enumerate(models.columns):
         x = F.col(c).cast("double") if c in models.families else None
@@ -111,7 +165,7 @@ def _scores(models: CopulaModels, placed: DataFrame, keep: list[str], row_id: st
         elif kind[i] == "gamma":
             root = F.pow(F.greatest((x - p("lo", i)) / p("theta", i), F.lit(0.0)), F.lit(1 / 3))
             first[f"g{i}"] = (root - p("base", i)) / (p("top", i) - p("base", i)) * (GRID - 1)
-        else:
+        elif kind[i] == "category":
             first[f"g{i}"] = F.array_position(p("labels", i), F.col(c).cast("string")).cast("int")
     out = placed.withColumns(first)
     truncated = [i for i in kind if kind[i] == "truncnorm"]
@@ -120,19 +174,19 @@ def _scores(models: CopulaModels, placed: DataFrame, keep: list[str], row_id: st
     for i, c in enumerate(models.columns):
         if kind[i] == "gamma":
             second[f"z{i}"] = _read_grid(p("forward", i), p("g", i))
-        elif kind[i] == "category":
-            low = F.when(p("g", i) > 1, F.get(p("shares", i), p("g", i) - 2)).otherwise(0.0)
-            high = F.get(p("shares", i), p("g", i) - 1)
+        elif kind[i] in ("category", "wide"):
+            low = F.when(p("g", i) > 1, F.get(p("shares", i), p("g", i) - 2)).otherwise(0.0) if kind[i] == "category" else p("part", i)["low"]
+            high = F.get(p("shares", i), p("g", i) - 1) if kind[i] == "category" else p("part", i)["high"]
             second[f"u{i}"] = low + (high - low) * fast_uniform(seed, F.lit(c), F.col(row_id))
     out = out.withColumns(second) if second else out
-    out = add_norm_ppf(out, {f"z{i}": f"u{i}" for i in kind if kind[i] in ("truncnorm", "uniform", "category")}, EDGE)
+    out = add_norm_ppf(out, {f"z{i}": f"u{i}" for i in kind if kind[i] in ("truncnorm", "uniform", "category", "wide")}, EDGE)
     return out.select(*keep, *[f"z{i}" for i in kind])
 
 
 def _values(models: CopulaModels, scored: DataFrame, keep: list[str]) -> DataFrame:
     """The columns of sampled rows from their normal scores y<i>."""
     p = lambda name, i: F.col(f"{name}{i}")
-    kind = {i: models.families.get(c, "category") for i, c in enumerate(models.columns)}
+    kind = _kinds(models)
     out = add_norm_cdf(scored, {f"u{i}": f"y{i}" for i in kind if kind[i] not in ("norm", "gamma")})
     truncated = [i for i in kind if kind[i] == "truncnorm"]
     if truncated:
@@ -140,6 +194,11 @@ def _values(models: CopulaModels, scored: DataFrame, keep: list[str]) -> DataFra
         out = add_norm_ppf(out, {f"v{i}": f"t{i}" for i in truncated}, EDGE)
     values = []
     for i, c in enumerate(models.columns):
+        if kind[i] == "wide":
+            most = max(len(r[f"bounds{i}"]) for r in models.rows)
+            chunk = F.least(count_below(p("bounds", i), p("u", i), most), F.size(p("bounds", i)) - 1)
+            values += [p("u", i), chunk.cast("long").alias(f"chunk{i}")]
+            continue
         if kind[i] == "category":
             place = F.size(F.filter(p("shares", i), _below(f"u{i}")))
             values.append(F.get(p("labels", i), F.least(place, F.size(p("labels", i)) - 1)).cast(models.types[c]).alias(c))
@@ -154,7 +213,11 @@ def _values(models: CopulaModels, scored: DataFrame, keep: list[str]) -> DataFra
         x = F.greatest(F.least(x, p("hi", i)), p("lo", i))  # sampled values stay within the seen range
         whole = isinstance(models.types[c], T.IntegralType)
         values.append((F.round(x) if whole else x).cast(models.types[c]).alias(c))
-    return out.select(*keep, *values)
+    if not models.levels:
+        return out.select(*keep, *values)
+    # What follows shuffles the rows: the parameters of the models stay behind.
+    narrow = out.select("model", *[k for k in keep if k != "model"], *values)
+    return _with_drawn(models, narrow).select(*keep, *models.columns)
 
 
 def _below(name: str):
@@ -262,13 +325,12 @@ def fit_copula(
                 base, top, forward, back = _gamma_table(shape)
                 row |= {f"theta{i}": centre / shape, f"base{i}": base, f"top{i}": top, f"forward{i}": forward, f"back{i}": back}
         rows.append(row)
-    if cat_cols:
-        _add_intervals(source, columns, cat_cols, by, rows)
-    models = CopulaModels(df.sparkSession, columns, families, types, tuple(keys), rows)
+    levels = _add_intervals(source, columns, cat_cols, by, rows) if cat_cols else {}
+    models = CopulaModels(df.sparkSession, columns, families, types, tuple(keys), rows, levels)
     # One row per model: as many as there are shadow sets.
-    placed = source.drop("model").join(F.broadcast(models.frame()), keys) if keys else source.join(
-        F.broadcast(models.frame()), "model"
-    )
+    placed = source.drop("model").join(F.broadcast(_numbers_of(source, by, rows)), by) if keys else source
+    shared = [k for k in ("model", *keys)]
+    placed = _with_parts(models, placed).join(F.broadcast(models.frame()), shared)
     d = len(columns)
     scores = _scores(models, placed, by, row_id, seed)
     pairs = [(i, j) for i in range(d) for j in range(i)]
@@ -285,8 +347,18 @@ def fit_copula(
     return models
 
 
-def _add_intervals(source: DataFrame, columns, cat_cols: list[str], by: list[str], rows: list[dict]) -> None:
-    """Cumulated frequencies of the categories, most frequent first, per model."""
+def _numbers_of(source: DataFrame, by: list[str], rows: list[dict]) -> DataFrame:
+    """(keys..., model): the number of each model."""
+    fields = [source.schema[k] for k in by if k != "model"] + [T.StructField("model", T.LongType())]
+    return source.sparkSession.createDataFrame([tuple(r[f.name] for f in fields) for r in rows], T.StructType(fields))
+
+
+def _add_intervals(source: DataFrame, columns, cat_cols: list[str], by: list[str], rows: list[dict]) -> dict[str, DataFrame]:
+    """Cumulated frequencies of the categories, most frequent first, per model.
+
+    Columns of at most MAX_LEVELS categories in each model get arrays in its row; the others come
+    back as tables of intervals, of which the driver gets one bound for each CHUNK categories.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cat_cols])
     counted = (
         source.select(*by, F.explode(cells).alias("e"))
@@ -294,19 +366,62 @@ def _add_intervals(source: DataFrame, columns, cat_cols: list[str], by: list[str
         .groupBy(*by, "e.column", "e.value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    limit = MAX_LEVELS * len(cat_cols) * len(rows)
-    levels = counted.take(limit + 1)
-    if len(levels) > limit:
-        raise ValueError(f"more than {MAX_LEVELS} categories in a column")
+    levels = counted.take(MAX_LEVELS + 1)
+    wide = []
+    if len(levels) > MAX_LEVELS:
+        counted = written(counted, "levels")
+        sizes = counted.groupBy(*by, "column").agg(F.count(F.lit(1)).alias("n")).groupBy("column").agg(F.max("n").alias("n"))
+        wide = [r["column"] for r in sizes.collect() if r["n"] > MAX_LEVELS]
+        levels = counted.where(~F.col("column").isin(wide)).collect()  # at most MAX_LEVELS for each model and column
     per: dict[tuple, list] = {}
     for r in levels:
         per.setdefault((tuple(r[k] for k in by), r["column"]), []).append((-r["n"], r["value"]))
     for row in rows:
         for i, c in enumerate(columns):
-            if c in cat_cols:
+            if c in cat_cols and c not in wide:
                 ordered = sorted(per[(tuple(row[k] for k in by), c)])
                 upto = np.cumsum([-n for n, _ in ordered], dtype=float)
                 row |= {f"labels{i}": [v for _, v in ordered], f"shares{i}": (upto / upto[-1]).tolist()}
+    if not wide:
+        return {}
+    many = counted.where(F.col("column").isin(wide)).join(F.broadcast(_numbers_of(source, by, rows)), by)
+    table = _interval_table(many.select("model", "column", "value", "n"))
+    ends = table.groupBy("model", "column", "chunk").agg(F.max("high").alias("high")).collect()
+    for row in rows:
+        for i, c in enumerate(columns):
+            if c in wide:
+                row[f"bounds{i}"] = sorted(r["high"] for r in ends if r["model"] == row["model"] and r["column"] == c)
+    return {c: table.where(F.col("column") == c).drop("column") for c in wide}
+
+
+def _interval_table(counted: DataFrame) -> DataFrame:
+    """(model, column, value, low, high, chunk) from counts: cumulated shares, most frequent first.
+
+    Values of equal counts form a class. Classes are accumulated, of which there are few; within a class the
+    interval follows from the rank of the value.
+    """
+    group = ["model", "column"]
+    classes = counted.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("k")).withColumns(
+        {"w": F.col("k") * F.col("n"), "down": -F.col("n").cast("double")}
+    )
+    summed = running_totals(classes, "down", ["w", "k"], groups=group)
+    key = F.struct(*group, "n")
+    entries = summed.select(
+        key.alias("k_"), F.struct((F.col("cum_w") - F.col("w")).alias("w"), (F.col("cum_k") - F.col("k")).alias("k"), F.col("all_w").alias("all")).alias("v")
+    ).withColumnRenamed("k_", "k")
+    ranked = ranks_within(counted.withColumn("_class", key), "_class", "value", "_rank").drop("_class")
+    placed = look_up(ranked, key, entries, "_from")
+    upto = lambda rank: (F.col("_from")["w"] + rank * F.col("n")) / F.col("_from")["all"]
+    return written(
+        placed.select(
+            *group,
+            "value",
+            upto(F.col("_rank")).alias("low"),
+            upto(F.col("_rank") + 1).alias("high"),
+            F.floor((F.col("_from")["k"] + F.col("_rank")) / CHUNK).cast("long").alias("chunk"),
+        ),
+        "intervals",
+    )
 
 
 def sample_copula(models: CopulaModels, n: int, draws: int = 1, seed: int = 0) -> DataFrame:

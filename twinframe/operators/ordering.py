@@ -126,20 +126,24 @@ def ranks_within(df: DataFrame, group: str, key: str, name: str, limit: int = 10
     return written(ranked.select(*df.columns, (F.col("_before") + F.col("_inside")).cast("long").alias(name)), "ranks")
 
 
-def look_up(df: DataFrame, key: Column, table: DataFrame, name: str, hot_share: int = 10_000) -> DataFrame:
+def look_up(
+    df: DataFrame, key: Column, table: DataFrame, name: str, hot_share: int = 10_000, limit: int = 10_000, often: DataFrame | None = None
+) -> DataFrame:
     """The rows with column `name`: what `table` (unique k, v) holds for the key, null if nothing.
 
-    A small table is sent to the rows. For a larger one the rows are shuffled by key, but for those
+    A table of at most `limit` rows is sent to the rows. For a larger one the rows are shuffled by key, but for those
     of a frequent key: of keys held by more than one row in `hot_share` there are fewer than
     `hot_share`, so their entries are sent. Rows that need no other entry, or have a null key, are spread by
-    their contents, and no task gets all rows of a key.
+    their contents, and no task gets all rows of a key. `often` names the frequent keys (column _k, fewer
+    than `hot_share` rows) where they are known without counting.
     """
-    small = as_small(table)
+    small = as_small(table, limit)
     if small is not table:
         found = small.select(F.col("k").alias("_k"), F.col("v").alias(name))
         return df.withColumn("_key", key).join(found, F.col("_key") == F.col("_k"), "left").drop("_key", "_k")
-    counts = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    often = counts.where(F.col("_k").isNotNull() & (F.col("_n") * hot_share > F.lit(df.count())))
+    if often is None:
+        counts = df.groupBy(key.alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+        often = counts.where(F.col("_k").isNotNull() & (F.col("_n") * hot_share > F.lit(df.count()))).select("_k")
     hot = often.join(table, F.col("_k") == F.col("k"), "left").select(F.col("_k").alias("_hot"), F.col("v").alias("_hot_v"))
     hot = as_small(hot, hot_share)
     settled = F.col("_hot").isNotNull() | F.col("_key").isNull()
