@@ -32,6 +32,10 @@ POLY_DEGREE = 3
 FOURIER = 256  # random features standing in for the rbf kernel
 LANDMARKS = 256  # training rows whose kernel values stand in for a kernel without an explicit map
 TOLERANCE = 1e-4  # relative gain of ten gradient steps below which a fit has converged
+FLAT = 1e-5  # share of the first slope below which a fit has converged
+MEMORY = 10  # past steps that shape the next one
+LENGTHS = [1.0, 0.3, 0.05, 3.0]  # lengths of a step that one pass over the data compares
+ROUNDING = 0.01  # width, in deviations of the label, over which the corner of the loss of `svr` is rounded
 
 
 # ---- metrics
@@ -185,43 +189,79 @@ def svc(train: DataFrame, test: DataFrame, C: float = 1.0, kernel: str = "rbf",
     return model.fit(a).transform(b).select("row_id", "label", "prediction")
 
 
-def _descend(train: DataFrame, weights: np.ndarray, gradient: Callable, steps: int, rate: float) -> tuple[np.ndarray, list[float]]:
-    """Adam on full gradients; ends after `steps`, or once ten steps gain less than TOLERANCE of the loss.
-
-    Each step is one job: tasks make one partial sum each, which are added up in the cluster, so
-    the driver gets one number a weight however many tasks there are.
+def _direction(slope: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Quasi-Newton direction from the last steps and the changes of the slope along them."""
+    q, kept = slope.copy(), []
+    for step, change in reversed(pairs):
+        share = (step @ q) / (step @ change)
+        kept.append(share)
+        q -= share * change
+    if pairs:
+        step, change = pairs[-1]
+        q *= (step @ change) / (change @ change)
+    else:
+        q /= max(np.linalg.norm(slope), 1e-12)
+    for (step, change), share in zip(pairs, reversed(kept)):
+        q += (share - (change @ q) / (step @ change)) * step
+    return -q
+
+
+def _minimise(
+    train: DataFrame, weights: np.ndarray, gradient: Callable, steps: int, gain: float = TOLERANCE
+) -> tuple[np.ndarray, list[float], int]:
+    """Limited-memory quasi-Newton on full gradients: (weights, losses, jobs).
+
+    Each job scores several lengths of one step in one pass; tasks make one partial sum each, which
+    are added up in the cluster, so the driver gets one number a weight and length. Ends after `steps`
+    jobs, when the slope has fallen below FLAT times the first one, when ten steps gain less
+    than `gain` of the loss, or when no length lowers the loss.
     """
     data = train.select("features", "label").persist()
-    n = data.count()
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
-    losses = []
+    n = max(data.count(), 1)
+
+    def scored(points: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        def partial(batches):
+            sums = [np.zeros(len(points[0]) + 1) for _ in points]
+            for batch in batches:
+                if len(batch):
+                    x, y = np.stack(batch["features"].to_numpy()), batch["label"].to_numpy(dtype=float)
+                    for k, point in enumerate(points):
+                        loss, slope = gradient(point, x, y)
+                        sums[k] += np.append(slope, loss)
+            yield pd.DataFrame({"at": np.arange(len(points) * len(sums[0])), "g": np.concatenate(sums)})
+
+        parts = data.mapInPandas(partial, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
+        out = np.zeros(len(points) * (len(points[0]) + 1))
+        for part in parts:
+            out[part["at"]] = part["g"]
+        return [(row[-1] / n, row[:-1] / n) for row in out.reshape(len(points), -1)]
+
     try:
-        for step in range(1, steps + 1):
-            current = weights
-
-            def partial(batches, w=current):
-                total, loss = np.zeros_like(w), 0.0
-                for batch in batches:
-                    if len(batch):
-                        l, g = gradient(w, np.stack(batch["features"].to_numpy()), batch["label"].to_numpy(dtype=float))
-                        total, loss = total + g, loss + l
-                yield pd.DataFrame({"at": np.arange(len(total) + 1), "g": np.append(total, loss)})
-
-            parts = data.mapInPandas(partial, "at long, g double").groupBy("at").agg(F.sum("g").alias("g")).collect()
-            sums = np.zeros(len(weights) + 1)
-            for part in parts:
-                sums[part["at"]] = part["g"]
-            slope = sums[:-1] / n
-            losses.append(sums[-1] / n)
-            if len(losses) > 10 and losses[-11] - min(losses[-10:]) < TOLERANCE * max(abs(losses[-11]), 1e-12):
+        (loss, slope), = scored([weights])
+        losses, pairs, jobs, first, lengths = [loss], [], 1, np.linalg.norm(slope), LENGTHS
+        while jobs < steps and np.linalg.norm(slope) > FLAT * first:
+            move = _direction(slope, pairs)
+            if move @ slope >= 0:  # no way down: forget the past
+                pairs, move = [], -slope / np.linalg.norm(slope)
+            tried = scored([weights + t * move for t in lengths])
+            jobs += 1
+            fine = [k for k, (value, _) in enumerate(tried) if np.isfinite(value) and value <= loss + 1e-4 * lengths[k] * (move @ slope)]
+            if not fine:
+                if lengths is not LENGTHS:
+                    break
+                lengths = [t / 1000 for t in LENGTHS]
+                continue
+            best = min(fine, key=lambda k: tried[k][0])
+            step, change = lengths[best] * move, tried[best][1] - slope
+            if step @ change > 1e-12:
+                pairs = [*pairs, (step, change)][-MEMORY:]
+            weights, (loss, slope), lengths = weights + step, tried[best], LENGTHS
+            losses.append(loss)
+            if len(losses) > 10 and losses[-11] - loss < gain * max(abs(losses[-11]), 1e-12):
                 break
-            first = 0.9 * first + 0.1 * slope
-            second = 0.999 * second + 0.001 * slope**2
-            move = (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-            weights = weights - rate * (1 - 0.7 * step / steps) * move
     finally:
         data.unpersist()
-    return weights, losses
+    return weights, losses, jobs
 
 
 def _predict(test: DataFrame, function: Callable) -> DataFrame:
@@ -237,23 +277,26 @@ def svr(
 ) -> DataFrame:
     """Epsilon-insensitive regression, |w|^2 / 2 + C sum of losses beyond epsilon.
 
-    The kernel is `linear`, or `rbf` by random features.
+    The kernel is `linear`, or `rbf` by random features. The corner of the loss is rounded over a
+    hundredth of the label's deviation.
     """
     if kernel not in ("linear", "rbf"):
         raise ValueError(f"kernel {kernel!r} has no explicit feature map")
     if kernel == "rbf":
         width, dims = _kernel_width(train, gamma), len(train.select("features").first()[0])
         train, test = fourier_features(train, width, dims), fourier_features(test, width, dims)
-    n, d = _size(train), len(train.select("features").first()[0])
+    shape = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("sd"), F.max(F.size("features")).alias("d")).first()
+    n, d, corner = max(shape["n"], 1), shape["d"], ROUNDING * (shape["sd"] or 1.0)
 
     def gradient(w, x, y):
         gap = y - x @ w[:-1] - w[-1]
-        side = np.where(np.abs(gap) > epsilon, -np.sign(gap), 0.0)
+        beyond = np.maximum(np.abs(gap) - epsilon, 0.0)
+        side = -np.sign(gap) * np.minimum(beyond / corner, 1.0)
         penalty = w[:-1] / (C * n)
-        loss = np.maximum(np.abs(gap) - epsilon, 0.0).sum() + len(y) * (w[:-1] @ penalty) / 2
+        loss = np.where(beyond < corner, beyond**2 / (2 * corner), beyond - corner / 2).sum() + len(y) * (w[:-1] @ penalty) / 2
         return loss, np.append(x.T @ side + len(y) * penalty, side.sum())
 
-    w, _losses = _descend(train, np.zeros(d + 1), gradient, max_iter, 0.1)
+    w, _losses, _jobs = _minimise(train, np.zeros(d + 1), gradient, max_iter, 1e-6)
     return _predict(test, lambda x: x @ w[:-1] + w[-1])
 
 
@@ -294,9 +337,9 @@ def mlp_regressor(
             hidden.T @ gap + share * alpha * c,
             [gap.sum()],
         ]
-        return 0.5 * (gap**2).sum(), np.concatenate(grads)
+        return 0.5 * (gap**2).sum() + share * alpha * ((a * a).sum() + c @ c) / 2, np.concatenate(grads)
 
-    w, _losses = _descend(train, start, gradient, max_iter, 0.02)
+    w, _losses, _jobs = _minimise(train, start, gradient, max_iter)
     return _predict(test, lambda x: forward(w, x)[1])
 
 
@@ -337,7 +380,7 @@ def mlp_classifier(
         loss = -np.log(np.maximum(hit, 1e-300)).sum() + share * alpha * (a @ a + c @ c) / 2
         return loss, np.concatenate(grads)
 
-    w, _losses = _descend(train, start, gradient, max_iter, 0.02)
+    w, _losses, _jobs = _minimise(train, start, gradient, max_iter)
     return _predict(test, lambda x: forward(w, x)[1].argmax(axis=1).astype(float))
 
 
