@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from twinframe.operators import privacy as pv
+from twinframe.operators.ordering import look_up
 
 
 def plan_of(df) -> str:
@@ -16,3 +19,22 @@ def test_memberships_are_not_sent_whole(spark):
         last = plan_of(joined).split("Join", 1)[0]
         assert "BroadcastHash" not in last and "SortMerge" in last
     assert pv.shadow_tables(df, members).count() == 100
+
+
+def test_long_entries_of_frequent_keys_stay_out_of_the_shuffle(spark):
+    rows = spark.range(40).selectExpr("id", "CASE WHEN id = 39 THEN NULL ELSE id % 8 END AS c")
+    table = spark.range(6).selectExpr("id AS k", "array_repeat(id, 100) AS v")
+    often = spark.range(3).selectExpr("id AS _k")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = look_up(rows, F.col("c"), table, "v", hot_share=4, limit=2, often=often)
+        lines = plan_of(out).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    shuffled = [below for line, below in zip(lines, lines[1:]) if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("_hot_v" in line for line in shuffled)
+    found = {r["id"]: r["v"] for r in out.collect()}
+    assert len(found) == 40 and all(
+        v == ([i % 8] * 100 if i != 39 and i % 8 < 6 else None) for i, v in found.items()
+    )
