@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from twinframe.operators import encode
+from twinframe.operators import models as md
 from twinframe.operators import privacy as pv
 from twinframe.operators.ordering import look_up
 
@@ -38,3 +40,24 @@ def test_long_entries_of_frequent_keys_stay_out_of_the_shuffle(spark):
     assert len(found) == 40 and all(
         v == ([i % 8] * 100 if i != 39 and i % 8 < 6 else None) for i, v in found.items()
     )
+
+
+def test_wide_features_are_spread_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(encode, "TASK_BYTES", 1000)
+    rows = spark.range(0, 60, 1, 1).selectExpr("id AS row_id", "double(id) AS x", "string(id % 9) AS c", "double(id % 5) AS y")
+    coder = encode.fit_features(rows, ["x"], ["c"], "y", "regression")
+    out = coder.transform(rows)
+    assert out.rdd.getNumPartitions() == 5  # of 60 rows of 10 numbers of 8 bytes
+    assert out.count() == 60
+
+
+def test_products_of_one_hot_blocks_are_kept_without_zeros(spark):
+    rows = spark.range(40).selectExpr(
+        "id AS row_id", "transform(sequence(0, 11), k -> IF(k = id % 12, 1D, 0D)) AS features", "double(id % 2) AS label"
+    )
+    packed = md._packed(md.as_vectors(rows))
+    assert packed.first()["features"].__class__.__name__ == "SparseVector"
+    assert [r["features"].toArray().tolist() for r in packed.orderBy("row_id").collect()] == [
+        r["features"] for r in rows.orderBy("row_id").collect()
+    ]
+    assert md.svc(rows, rows, kernel="poly").where("label = prediction").count() == 40
