@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from twinframe.operators import encode
 from twinframe.operators import models as md
+from twinframe.operators import neighbours as nb
 from twinframe.operators import privacy as pv
 from twinframe.operators.ordering import look_up
 
@@ -61,3 +63,20 @@ def test_products_of_one_hot_blocks_are_kept_without_zeros(spark):
         r["features"] for r in rows.orderBy("row_id").collect()
     ]
     assert md.svc(rows, rows, kernel="poly").where("label = prediction").count() == 40
+
+
+def test_blocks_of_targets_and_the_frames_of_them_are_bounded(monkeypatch):
+    monkeypatch.setattr(nb, "PIECE", 1000)
+    rng = np.random.default_rng(1)
+    goes = rng.random((1024, 40)) < 0.5
+    goes[:, 7] = False
+    a, t, nodes = rng.random((1024, 3)), np.arange(1024), np.arange(100, 140)
+    blocks = list(nb._emit(2, nodes, goes, t, t / 2.0, a))
+    assert max(len(b[2]) for b in blocks) <= nb.SENT
+    met = {(int(i), b[1]) for b in blocks for i in b[2]}
+    assert met == {(int(i), 100 + int(j)) for i, j in zip(*np.nonzero(goes))} and sum(len(b[2]) for b in blocks) == len(met)
+    assert all((b[4].reshape(-1, 3) == a[b[2]]).all() and (b[3] == b[2] / 2.0).all() and b[0] == 2 for b in blocks)
+    frames = list(nb._pieces(iter(blocks)))
+    assert sum(len(f) for f in frames) == len(blocks)
+    assert max(f["tids"].map(len).sum() for f in frames) < 1000 + nb.SENT
+    assert not list(nb._emit(0, nodes, np.zeros((5, 40), dtype=bool), t[:5], t[:5], a[:5]))
