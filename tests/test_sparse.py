@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,26 @@ def test_ridge_over_a_wide_column_is_the_closed_form(spark, wide, blocks):
     closed = known.groupBy("c").agg((F.sum("y") / (F.count("y") + 2.0)).alias("w"))
     off = got.join(known.join(closed, "c").select("row_id", "w"), "row_id").agg(F.max(F.abs(F.col("prediction") - F.col("w"))), F.count("w")).first()
     assert off[1] == known.count() and off[0] < 1e-3
+
+
+def test_wide_ridge_keeps_weights_and_descriptions_off_the_driver(spark, monkeypatch):
+    """Rows with repeated ids, missing and unseen categories, against the normal equations."""
+    category = lambda i: None if i % 17 == 0 else f"q{i % 5}" if i % 3 else "hot"
+    rows = [(i // 2, float((i * 7) % 13) / 4, category(i), f"z{(i * i) % 9}", float((i * 31) % 23)) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, n double, c string, e string, y double")
+    coder = sp.fit_sparse_features(df.where("c <> 'q1'"), ["n"], ["c", "e"], "y", "regression")
+    listed = lambda t: sorted((r["row_id"], r["label"], list(r["features"].toArray())) for r in t.collect())
+    described = listed(coder.transform(df))
+    monkeypatch.setattr(sp, "ONE_HOT_LIMIT", 5, raising=False)
+    monkeypatch.setattr(md, "WIDE", 5, raising=False)
+    wide = coder.transform(df)
+    assert not wide.schema["features"].metadata and listed(wide) == described
+    monkeypatch.setattr(md, "LinearRegression", None)  # its weights lie on the driver
+    x, y = np.array([r[2] for r in described]), np.array([r[1] for r in described])
+    w = np.linalg.solve(x.T @ x + 2.0 * np.eye(x.shape[1]), x.T @ y)
+    centred = x - x.mean(axis=0)
+    v = np.linalg.solve(centred.T @ centred + 2.0 * np.eye(x.shape[1]), centred.T @ y)
+    for fit_intercept, expected in ((False, x @ w), (True, centred @ v + y.mean())):
+        got = md.ridge(wide, wide, alpha=2.0, fit_intercept=fit_intercept).collect()
+        told = sorted((r["row_id"], r["label"], round(r["prediction"], 7)) for r in got)
+        assert told == sorted((r[0], r[1], round(float(p), 7)) for r, p in zip(described, expected))

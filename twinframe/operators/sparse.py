@@ -10,12 +10,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinframe.operators.codec import SEPARATOR, STAND_IN, categories_with_counts, column_importance, stand_in
-from twinframe.operators.encode import Scaler, categories, fit_scaler, ordinal_decode, ordinal_encode
+from twinframe.operators.encode import ONE_HOT_LIMIT, Scaler, categories, fit_scaler, ordinal_decode, ordinal_encode
 from twinframe.operators.ordering import look_up
+from twinframe.session import written
 
 
 @dataclass(frozen=True)
@@ -135,6 +138,8 @@ class SparseEncoder:
             labelled = ordinal_encode(labelled, ["_label"], self.classes.withColumn("column", F.lit("_label")))
         numbers = {f"_n{i}": self.scaler.transform(c) for i, c in enumerate(self.scaler.shift)}
         placed = self.blocks.places(labelled, "_places")
+        if self.width > ONE_HOT_LIMIT:
+            return self._undescribed(placed, list(numbers.values()), row_id)
         codes = {}
         for i, c in enumerate(self.blocks.columns):
             width = self.blocks.widths[c]
@@ -151,6 +156,26 @@ class SparseEncoder:
         assembled = VectorAssembler(inputCols=[*numbers, *hot], outputCol="features").transform(rows)
         return assembled.select(row_id, "features", "label")
 
+    def _undescribed(self, placed: DataFrame, numbers: list[Column], row_id: str) -> DataFrame:
+        """The vectors as Spark stores them, written and read back.
+
+        `OneHotEncoder` and `VectorAssembler` describe every place of a vector in the schema, which the driver holds.
+        """
+        cell = lambda place, value: F.struct(place.cast("int").alias("place"), value.alias("value"))
+        known = lambda x: F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(F.raise_error(F.lit("a number of the features is null or NaN")))
+        first = F.array(*[cell(F.lit(i), known(x)) for i, x in enumerate(numbers)]).cast("array<struct<place:int,value:double>>")
+        ones = F.transform(F.filter("_places", lambda p: p.isNotNull()), lambda p: cell(p + len(numbers), F.lit(1.0)))
+        rows = placed.withColumn("_cells", F.filter(F.concat(first, ones), lambda c: c["value"] != 0))
+        vector = F.struct(
+            F.lit(0).cast("byte").alias("type"),
+            F.lit(self.width).alias("size"),
+            F.col("_cells.place").alias("indices"),
+            F.col("_cells.value").alias("values"),
+        )
+        rows = rows.select(F.col(row_id), vector.alias("features"), F.col("_label").cast("double").alias("label"))
+        schema = T.StructType([rows.schema[row_id], T.StructField("features", VectorUDT()), rows.schema["label"]])
+        return written(rows, "vectors", schema)
+
 
 def fit_sparse_features(df: DataFrame, num_features: list[str], cat_features: list[str], target: str, task: str) -> SparseEncoder:
     """Scalers, category tables and class codes fitted on one table; ridge, logistic and forests take the vectors."""
