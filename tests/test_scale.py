@@ -80,3 +80,13 @@ def test_blocks_of_targets_and_the_frames_of_them_are_bounded(monkeypatch):
     assert sum(len(f) for f in frames) == len(blocks)
     assert max(f["tids"].map(len).sum() for f in frames) < 1000 + nb.SENT
     assert not list(nb._emit(0, nodes, np.zeros((5, 40), dtype=bool), t[:5], t[:5], a[:5]))
+
+
+def test_rows_are_dealt_out_by_the_width_of_the_kernel_map(spark, monkeypatch):
+    monkeypatch.setattr(md, "TASK_BYTES", 20_000, raising=False)
+    rows = spark.range(0, 60, 1, 1).selectExpr("id AS row_id", "array(id / 60D, (id % 7) / 7D) AS features", "double(id % 2) AS label")
+    seen = []
+    minimise = md._minimise
+    monkeypatch.setattr(md, "_minimise", lambda train, *rest: seen.append(train.rdd.getNumPartitions()) or minimise(train, *rest))
+    assert md.svr(rows, rows, max_iter=2).count() == 60
+    assert seen == [7]  # of 60 rows of 256 numbers of 8 bytes
