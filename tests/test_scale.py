@@ -90,3 +90,20 @@ def test_rows_are_dealt_out_by_the_width_of_the_kernel_map(spark, monkeypatch):
     monkeypatch.setattr(md, "_minimise", lambda train, *rest: seen.append(train.rdd.getNumPartitions()) or minimise(train, *rest))
     assert md.svr(rows, rows, max_iter=2).count() == 60
     assert seen == [7]  # of 60 rows of 256 numbers of 8 bytes
+
+
+def test_targets_of_a_category_unknown_to_the_other_side_meet_few_leaves(spark, monkeypatch):
+    monkeypatch.setattr(nb, "LEAF_ROWS", 4)
+    kept, write = {}, nb.written
+    monkeypatch.setattr(nb, "written", lambda df, name, *rest: kept.setdefault(name, write(df, name, *rest)))
+    rng = np.random.default_rng(5)
+    x, y = rng.random((200, 2)), rng.random((3000, 2))
+    codes = rng.choice([-1.0, 0.0, 2.0], 3000)
+    targets = spark.createDataFrame([(i, [*v.tolist(), 1.0]) for i, v in enumerate(x)], "row_id long, vec array<double>")
+    candidates = spark.createDataFrame([([*v.tolist(), c],) for v, c in zip(y, codes.tolist())], "vec array<double>")
+    got = {r["row_id"]: r["distance"] for r in nb.nearest(targets, candidates, 2, 1).collect()}
+    squared = ((x[:, None] - y[None]) ** 2).sum(-1) + np.where(codes < 0, 1.0, 2.0)[None]
+    assert np.allclose([got[i] for i in range(200)], np.sqrt(squared.min(axis=1)))
+    # Of the 16 leaves with rows of the unknown category, those next to the target and those that hold two categories.
+    visits = kept["bounds"].where("node >= 0").agg(F.sum(F.size("tids"))).first()[0]
+    assert visits <= 5 * 200

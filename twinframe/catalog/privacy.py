@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from twinframe.catalog import query
 from twinframe.catalog import fixtures as fx
-from twinframe.catalog.encoding import CAT, PAIR_UNSEEN, pair_unseen
+from twinframe.catalog.encoding import CAT, PAIR_UNSEEN
 from twinframe.operators import privacy as pv
 from twinframe.operators.encode import fit_joint
 from twinframe.operators.neighbours import nearest_distances
+from twinframe.session import written
 
 PARTS = fx.PARTS
 SHADOWS = 6
@@ -52,16 +53,22 @@ NEAREST = (
 )
 
 
+def written_pair(spark, sf):
+    """`pair_unseen` from joined orders that are written once: fitting, packing and searching each read them again."""
+    real, syn = fx.pair(written(fx.order_facts(spark, sf), "order_facts"))
+    return real, fx.with_unseen(syn, "c_mktsegment", "BUILDING")
+
+
 @query("L5_nearest_distance", NEAREST.format(scale=""))
 def _(spark, sf):
-    real, twin = pair_unseen(spark, sf)
+    real, twin = written_pair(spark, sf)
     out = nearest_distances(real, twin, fit_joint(real, CAT), normalise=False)
     return out.withColumn("distance", F.round("distance", 6))
 
 
 @query("L6_scaled_distance", NEAREST.format(scale=" / sqrt(5)"))
 def _(spark, sf):
-    real, twin = pair_unseen(spark, sf)
+    real, twin = written_pair(spark, sf)
     return nearest_distances(real, twin, fit_joint(real, CAT)).withColumn("distance", F.round("distance", 6))
 
 
