@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from twinframe.catalog import privacy
+from twinframe.catalog.encoding import pair_unseen
 from twinframe.operators import encode
 from twinframe.operators import models as md
 from twinframe.operators import neighbours as nb
@@ -107,3 +109,10 @@ def test_targets_of_a_category_unknown_to_the_other_side_meet_few_leaves(spark,
     # Of the 16 leaves with rows of the unknown category, those next to the target and those that hold two categories.
     visits = kept["bounds"].where("node >= 0").agg(F.sum(F.size("tids"))).first()[0]
     assert visits <= 5 * 200
+
+
+def test_joined_orders_are_written_before_they_are_searched(spark, sf):
+    both = lambda pair: [sorted(map(str, side.collect())) for side in pair]
+    pair = privacy.written_pair(spark, sf)
+    assert not any("Join" in plan_of(side) for side in pair)
+    assert both(pair) == both(pair_unseen(spark, sf))
