@@ -42,3 +42,10 @@ def test_sums_added_up_in_the_cluster_are_those_of_the_driver(spark, monkeypatch
     monkeypatch.setattr(md, "SUM_BYTES", 0)
     other = md.svr(rows, rows, kernel="linear", max_iter=5).orderBy("row_id").collect()
     assert max(abs(a["prediction"] - b["prediction"]) for a, b in zip(one, other)) < 1e-6
+
+
+def test_vector_classes_take_all_steps(spark, sf, monkeypatch):
+    _parts(spark, monkeypatch)
+    fits = _seen(monkeypatch, md, "LinearSVC")
+    assert catalog.QUERIES["I6_svc"](spark, sf).count() == 30
+    assert [named["maxIter"] for _, named in fits] == [50]
