@@ -60,3 +60,14 @@ def test_report_of_numbers_takes_the_defaults_of_all_models(spark, sf, monkeypat
             monkeypatch.setitem(models, key, fit)
     assert catalog.QUERIES["I11_regression_report"](spark, sf).count() == 8
     assert len(fits) == 4 and not any(params for _, params in fits)
+
+
+def test_report_of_classes_takes_the_defaults_of_all_models(spark, sf, monkeypatch):
+    _parts(spark, monkeypatch)
+    fits = []
+    for models in (md.REGRESSORS, md.CLASSIFIERS):
+        for key in models:
+            fit = lambda train, test, key=key, **params: fits.append((key, params)) or test.selectExpr("row_id", "label", "label AS prediction")
+            monkeypatch.setitem(models, key, fit)
+    assert catalog.QUERIES["I12_classification_report"](spark, sf).count() == 8
+    assert len(fits) == 4 and not any(params for _, params in fits)
