@@ -71,3 +71,10 @@ def test_report_of_classes_takes_the_defaults_of_all_models(spark, sf, monkeypat
             monkeypatch.setitem(models, key, fit)
     assert catalog.QUERIES["I12_classification_report"](spark, sf).count() == 8
     assert len(fits) == 4 and not any(params for _, params in fits)
+
+
+def test_report_without_setup_takes_all_shadows_and_draws(spark, sf, monkeypatch):
+    calls = _seen(monkeypatch, jobs, "full_report", spark.range(1))
+    catalog.QUERIES["M4_report_without_setup"](spark, sf)
+    ((args, named),) = calls
+    assert len(args) == 2 and set(named) == {"meta", "skip_setup"}
